@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagequarry.frames import objects
 from pagequarry.session import cut, shuffle_partitions
 
 SKETCH_BITS = 20
@@ -119,7 +120,7 @@ def signatures(pages: DataFrame, key: str, text: str, k: int, t: float, min_word
                 groups.append(xxhash.xxh3_64_intdigest(raw[: 8 * p] + len(s).to_bytes(8, "little"), seed=1) - 2**63)
                 sizes.append(len(s))
                 rows.append(raw)
-            yield pd.DataFrame({"id": ids, "set_id": np.array(sets, np.int64), "group_id": np.array(groups, np.int64), "n": np.array(sizes, np.int32), "ordered": rows})
+            yield objects({"id": ids, "set_id": np.array(sets, np.int64), "group_id": np.array(groups, np.int64), "n": np.array(sizes, np.int32), "ordered": rows})
 
     rows = pages.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInPandas(run, "id long, set_id long, group_id long, n int, ordered binary")
@@ -209,7 +210,7 @@ def similar_pairs(pages: DataFrame, key: str = "page_id", text: str = "text", k:
                 common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                 sim[i] = common / ((len(x) + len(y)) // 8 - common)
             keep = sim >= t - 1e-12
-            yield pd.DataFrame({"set_a": b["set_a"][keep], "set_b": b["set_b"][keep], "similarity": sim[keep]})
+            yield objects({"set_a": b["set_a"][keep], "set_b": b["set_b"][keep], "similarity": sim[keep]})
 
     return both.mapInPandas(verify, "set_a long, set_b long, similarity double"), members
 

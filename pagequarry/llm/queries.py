@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import encoding, neardup, packing, splitting, vectors
+from pagequarry.llm import encoding, lines, lookalikes, neardup, packing, splitting, vectors
 from pagequarry.operators.components import connected_components
 from pagequarry.sources.tables import table
 
@@ -29,6 +29,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.least("id", "neighbour").alias("embedding_id_a"), F.greatest("id", "neighbour").alias("embedding_id_b")).distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, d, "pages"), table(spark, d, "documents")).select("page_id", "line_no")
+
+
+def p2_clean_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    return lines.without_lines(pages, lines.repeated_lines(pages, table(spark, d, "documents")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.find_terms(table(spark, d, "pages"), table(spark, d, "search_terms"))
+
+
+def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.canonical_text(table(spark, d, "pages")).distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     got = neardup.near_duplicate_pages(table(spark, d, "pages"), **PAGES)
     return got.select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
@@ -75,4 +92,4 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p5_found, p5_groups, p6_found, p6_passages, p7_ids, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_pages, p4_found, p4_canonical, p5_found, p5_groups, p6_found, p6_passages, p7_ids, p8_containers, p8_fill)}

@@ -24,23 +24,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagequarry.frames import objects, records
+
 # Usual abbreviations of the corpus languages (en, de, fr, es, ru), without their last full stop.
 ABBREVIATIONS = frozenset(
     """vs approx max min e.g i.e etc cf no nos fig figs ref refs eq sec ch vol pp p dr mr mrs ms st inc ltd co corp dept est incl excl
     z b z.b d.h u.a bzw ca abb nr tab vgl ggf evtl usw u o inkl exkl max bspw sog gem s str tel art bzgl zzgl d h
-    p.ex env réf fig ex cf mm mme art chap n vol éd av c.-à-d c.à.d
+    p.ex env réf fig ex cf mme art chap n vol éd av c.-à-d c.à.d
     p.ej ej pág págs núm sr sra aprox ud uds ref etc máx mín p
     т.е т.д т.п т е д п рис напр см стр гл табл др г им ок прим макс мин руб ул""".split()
 )
 _WORD = re.compile(r"[^ \n]+")
-_HEADING = re.compile(r"^\s*(?:\d{1,2}(?:\.\d{1,3})+\.?|[A-Z]\.\d+|§ ?\d+)\s+\S")
+_HEADING = re.compile(r"^\s*(?:\d{1,2}(?:\.\d{1,2})+\.?|[A-Z]\.\d+|§ ?\d+)\s+[^\W\d_]{3,}[^,;:.!?]*$")
 _BULLET = re.compile(r"^\s*(?:[•‣▪●◦*·\-–—]|\(?\d{1,3}[.)]|\(?[a-zA-Zа-я][)])(?= |$)")
 _CLOSERS = "\"'”’»“)]}›"
 _OPENERS = "\"'“„«‹([{¿¡"
 
 
-def ends_sentence(word: str, following: str | None) -> bool:
-    """Whether ``word`` ends a sentence, given the next word of the same block (null at the block's end)."""
+def ends_sentence(word: str, following: str | None, previous: str = "") -> bool:
+    """Whether ``word`` ends a sentence, given its neighbours in the same block (following is null at the block's end)."""
     core = word.rstrip(_CLOSERS)
     if not core or core[-1] not in ".!?…":
         return False
@@ -48,12 +50,11 @@ def ends_sentence(word: str, following: str | None) -> bool:
         return True
     if core[-1] == "." and not core.endswith(".."):
         stem = core[:-1].strip(_OPENERS + _CLOSERS).lower()
-        if stem in ABBREVIATIONS or (len(stem) == 1 and stem.isalpha()) or re.fullmatch(r"(?:\w\.)+\w", stem):
+        single = len(stem) == 1 and stem.isalpha() and not previous[-1:].isdigit()  # "5 V." is a quantity, "z. B." is not
+        if single or stem in ABBREVIATIONS and len(stem) > 1 or re.fullmatch(r"(?:\w\.)+\w", stem) and not stem[0].isdigit():
             return False
     head = following.lstrip(_OPENERS + "-–—•±≤≥<>~")
-    if not head:
-        return True
-    return not head[0].islower() or (head[0].islower() and core[-1] == "." and head[:2] in ("pH", "mm") and head[:2] == "pH")
+    return not head[:1].islower() or head[1:2].isupper()  # pH and the like begin a sentence too
 
 
 def _continues(line: str) -> bool:
@@ -73,15 +74,23 @@ def boundaries(text: str, start: int = 0, end: int | None = None, at_start: bool
     words: list[tuple[int, str, int]] = []  # offset, word, line
     for k, (o, x) in enumerate(lines):
         words.extend((o + m.start(), m.group(), k) for m in _WORD.finditer(x))
-    kinds = ["blank" if not x.strip() else "heading" if _HEADING.match(x) and len(x.split()) <= 12 and x.rstrip()[-1] not in ".,;:" else "item" if _BULLET.match(x) else "text" for _, x in lines]
+    kinds = ["blank" if not x.strip() else "item" if _BULLET.match(x) else "text" for _, x in lines]
+    closed = True  # whether the lines before have come to an end, so that a heading may follow
+    for k, (_, x) in enumerate(lines):
+        if kinds[k] == "item" and not closed and x.lstrip()[0] in "-–—·*":
+            kinds[k] = "text"  # a dash within a sentence
+        if kinds[k] == "text" and closed and len(x.split()) <= 8 and _HEADING.match(x):
+            kinds[k] = "heading"
+        closed = kinds[k] != "text" or ends_sentence(x.split()[-1], None)
     # an item's continuation lines belong to it as far as they begin in lower case
     block = [0] * len(lines)
     for k in range(1, len(lines)):
         new = kinds[k] in ("blank", "heading", "item") or kinds[k - 1] in ("blank", "heading")
-        if kinds[k - 1] == "item" and kinds[k] == "text" and not _continues(lines[k][1]):
-            new = True
-        if kinds[k] == "text" and kinds[k - 1] == "item" and not new:
-            kinds[k] = "item"
+        if kinds[k - 1] == "item" and kinds[k] == "text":
+            if _continues(lines[k][1]):
+                kinds[k] = "item"
+            else:
+                new = True
         block[k] = block[k - 1] + new
     found, n = [], 0
     for i, (o, w, k) in enumerate(words):
@@ -96,9 +105,11 @@ def boundaries(text: str, start: int = 0, end: int | None = None, at_start: bool
         if block[k2] != block[k]:
             if kinds[k] in ("heading", "item") or not _continues(after) or ends_sentence(w, None):
                 found.append(n)
-        elif kinds[k] == "item" and not ends_sentence(w, after):
-            pass
-        elif ends_sentence(w, after):
+            continue
+        before = words[i - 1][1] if i and block[words[i - 1][2]] == block[k] else None
+        if kinds[k] == "item" and before is None:
+            continue  # the item's number
+        if ends_sentence(w, after, before or ""):
             found.append(n)
     return n, found
 
@@ -141,7 +152,7 @@ def file_ranges(spark: SparkSession, paths: list[str], range_bytes: int = 1 << 2
                 a, s, e, z = whole(raw, 0), whole(raw, r * range_bytes - lo), whole(raw, min(size, (r + 1) * range_bytes) - lo), whole(raw, hi - lo)
                 pre, mid, post = (raw[x:y].decode("utf-8", "replace") for x, y in ((a, s), (s, e), (e, z)))
                 out.append((p, r, len(pre), len(pre) + len(mid), pre + mid + post, lo == 0, hi == size))
-            yield pd.DataFrame(out, columns=["key", "range", "start", "end", "part", "first", "last"])
+            yield records(out, ["key", "range", "start", "end", "part", "first", "last"])
 
     return plan.mapInPandas(run, "key string, range int, start int, end int, part string, first boolean, last boolean")
 
@@ -153,7 +164,7 @@ def natural_boundaries(ranges: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [boundaries(*x) for x in zip(b["part"], b["start"], b["end"], b["first"], b["last"])]
-            yield pd.DataFrame({"key": b["key"], "range": b["range"], "n": [n for n, _ in got], "found": [f for _, f in got]})
+            yield objects({"key": b["key"], "range": b["range"], "n": [n for n, _ in got], "found": [f for _, f in got]})
 
     table = ranges.mapInPandas(run, f"key {kind}, range int, n int, found array<int>").dropDuplicates(["key", "range"])
     before = F.coalesce(F.sum(F.col("n").cast("long")).over(W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -194,7 +205,7 @@ def split_items(df: DataFrame, key: str = "page_id", text: str = "text", max_wor
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(k, i, s, e) for k, x in zip(b[key], b["ends"]) for i, (s, e) in enumerate(cut_points(list(x), max_words, overlap))]
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "word_start", "word_end"])
+            yield records(rows, [key, "ordinal", "word_start", "word_end"])
 
     pieces = ends.mapInPandas(cuts, f"{key} {kind}, ordinal int, word_start int, word_end int")
     words = big.select(key, F.filter(F.split(text, "[ \n]+"), lambda w: w != "").alias("_words")).dropDuplicates([key])
