@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import encoding, lines, lookalikes, neardup, packing, splitting, vectors
+from pagequarry.llm import encoding, lines, lookalikes, mojibake, neardup, packing, splitting, vectors
 from pagequarry.operators.components import connected_components
 from pagequarry.sources.tables import table
 
@@ -91,5 +91,13 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("fill", "n_pieces").agg(F.count("*").alias("containers"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.damaged_tokens(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restore(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_pages, p4_found, p4_canonical, p5_found, p5_groups, p6_found, p6_passages, p7_ids, p8_containers, p8_fill)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_pages, p4_found, p4_canonical, p5_found, p5_groups, p6_found, p6_passages, p7_ids, p8_containers, p8_fill, p9_found, p9_restored)}
