@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import encoding, lines, lookalikes, mojibake, neardup, packing, splitting, vectors
+from pagequarry.llm import encoding, lines, lookalikes, mojibake, neardup, packing, scans, splitting, vectors
 from pagequarry.operators.components import connected_components
 from pagequarry.sources.tables import table
 
@@ -38,6 +38,15 @@ def p2_clean_pages(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_lines(pages, lines.repeated_lines(pages, table(spark, d, "documents")))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_noise(table(spark, d, "pages"), table(spark, d, "documents"))
+
+
+def p3_repaired_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    return scans.repaired_pages(pages, scans.scan_noise(pages, table(spark, d, "documents")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.find_terms(table(spark, d, "pages"), table(spark, d, "search_terms"))
 
@@ -100,4 +109,4 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_pages, p4_found, p4_canonical, p5_found, p5_groups, p6_found, p6_passages, p7_ids, p8_containers, p8_fill, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_pages, p3_found, p3_repaired_pages, p4_found, p4_canonical, p5_found, p5_groups, p6_found, p6_passages, p7_ids, p8_containers, p8_fill, p9_found, p9_restored)}
