@@ -170,9 +170,9 @@ def _pairs(pdf: pd.DataFrame, t: float, step: int = 2_000_000) -> Iterator[pd.Da
         m = many[rows]
         a = np.repeat(rows, m)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
-        # the overlap that t asks for must still be possible from these positions on
+        # a similar pair's first common shingle leaves room for all the overlap that t asks for, itself included
         need = np.ceil(t / (1 + t) * (n[a] + n[b]) - 1e-9)
-        ok = (1 + np.minimum(n[a] - pos[a] - 1, n[b] - pos[b] - 1) + np.minimum(pos[a], pos[b]) >= need) & (g[a] != g[b]) & ((side[a] == 0) | (side[b] == 0) | (side[a] != side[b]))
+        ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need) & (g[a] != g[b]) & ((side[a] == 0) | (side[b] == 0) | (side[a] != side[b]))
         a, b = a[ok], b[ok]
         if len(a):
             x, y = np.minimum(g[a], g[b]), np.maximum(g[a], g[b])

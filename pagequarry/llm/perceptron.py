@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 
 class AveragedPerceptron:
@@ -12,19 +12,26 @@ class AveragedPerceptron:
         self.classes: list[str] = []
 
     def scores(self, features: list[str]) -> dict[str, float]:
-        total = dict.fromkeys(self.classes, 0.0)
+        """Scores of the classes that any feature speaks of; the others have 0."""
+        total: dict[str, float] = {}
         for f in features:
-            for c, w in self.weights.get(f, {}).items():
-                total[c] += w
+            if row := self.weights.get(f):
+                for c, w in row.items():
+                    total[c] = total.get(c, 0.0) + w
         return total
 
     def predict(self, features: list[str]) -> str:
-        s = self.scores(features)
-        return max(self.classes, key=lambda c: (s[c], c))
+        """The class of the highest score; the first class in order where none is above 0."""
+        best, top = self.classes[0], 0.0
+        for c, v in self.scores(features).items():
+            if v > top or v == top and v > 0 and c < best:
+                best, top = c, v
+        return best
 
-    def train(self, examples: list[tuple[list[str], str]], epochs: int = 5, seed: int = 1) -> AveragedPerceptron:
+    def train(self, examples: list[tuple[list[str], str]], epochs: int = 3, seed: int = 1) -> AveragedPerceptron:
         """examples: features and their class. The result is the mean of the weights over all steps."""
-        self.classes = sorted({c for _, c in examples})
+        count = Counter(c for _, c in examples)
+        self.classes = sorted(count, key=lambda c: (-count[c], c))  # the most frequent one first
         total: dict[tuple[str, str], float] = defaultdict(float)
         stamp: dict[tuple[str, str], int] = defaultdict(int)
         rows, at, order = self.weights, 0, random.Random(seed)
@@ -46,7 +53,7 @@ class AveragedPerceptron:
         for f, w in rows.items():
             for c in list(w):
                 mean = (total[f, c] + (at - stamp[f, c]) * w[c]) / max(1, at)
-                if abs(mean) > 1e-4:
+                if abs(mean) > 0.02:
                     w[c] = mean
                 else:
                     del w[c]

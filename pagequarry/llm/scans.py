@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,6 +30,7 @@ from pagequarry.session import cut
 
 HYPHENS = "-‐‑¬­"
 _NUMBER = re.compile(r"^\W*(?:(?:page|seite|página|pág\.?|стр\.?|страница|blatt|p\.|s\.)\s*)?(\d{1,5})\W*(?:(?:/|of|von|sur|de|из)\s*\d{1,5}\W*)?$", re.I)
+CODE = r"^[A-ZА-Я]{2,}[- ]?[0-9]+$"  # part numbers are no words
 _ALNUM = re.compile(r"[^\W_]+")
 _FOLD = str.maketrans("015689", "olsbbg")
 
@@ -66,7 +68,7 @@ def edit_features(token: str, i: int) -> list[str]:
     a, b, c, d, e = p[i], p[i + 1], p[i + 2], p[i + 3], p[i + 4]
     kind = "9" if c.isdigit() else "A" if c.isupper() else "a"
     around = "".join("9" if x.isdigit() else "A" if x.isupper() else "a" if x.isalpha() else "." for x in (b, d))
-    return ["", c, f"{kind}{around}", f"{b}{c}", f"{c}{d}", f"<{b}{c}{d}>", f"{a}{b}|{c}", f"{c}|{d}{e}", f"{a}{b}{c}{d}", f"{b}{c}{d}{e}"]
+    return [c, f"{kind}{around}", f"{b}{c}", f"{c}{d}", f"<{b}{c}{d}>", f"{a}{b}|{c}", f"{c}|{d}{e}", f"{a}{b}{c}{d}", f"{b}{c}{d}{e}"]
 
 
 def edits(seen: str, right: str) -> list[str]:
@@ -85,13 +87,13 @@ def edits(seen: str, right: str) -> list[str]:
     return out
 
 
-def best_edits(model: AveragedPerceptron, token: str, width: int = 8, most: int = 3) -> list[tuple[str, float]]:
+def best_edits(model: AveragedPerceptron, token: str, width: int = 6, most: int = 3) -> list[tuple[str, float]]:
     """The best outputs of the editor by a beam over characters, unchanged text left out; at most ``most`` edits each."""
     beam: list[tuple[float, str, int]] = [(0.0, "", 0)]
     for i, c in enumerate(token):
         s = model.scores(edit_features(token, i))
         keep = s.get("=", 0.0)
-        options = [(0.0, c, 0)] + sorted(((v - keep, k, 1) for k, v in s.items() if k != "=" and k != c), reverse=True)[:4]
+        options = [(0.0, c, 0)] + sorted(((v - keep, k, 1) for k, v in s.items() if k != "=" and k != c), reverse=True)[:3]
         beam = sorted(((b + g, t + o, n + e) for b, t, n in beam for g, o, e in options if n + e <= most + (o == "")), reverse=True)[:width]
     return [(t, b) for b, t, n in beam if n and t != token]
 
@@ -138,7 +140,7 @@ def examples_of_page(text: str, page_number: int, title: str | None, clean: str)
         if right is None or len(b) < 3 or not any(x.isalpha() for x in b):
             continue
         if right == b:
-            if len(out) < 12:
+            if len(out) < 2:
                 out.append(("edit", b, b))
         elif b not in known and abs(len(b) - len(right)) <= 2 and difflib.SequenceMatcher(None, b, right, autojunk=False).ratio() >= 0.5:
             out.append(("edit", b, right))
@@ -159,7 +161,7 @@ def examples_of_page(text: str, page_number: int, title: str | None, clean: str)
 class ScanModels:
     """The three perceptrons."""
 
-    def __init__(self, rows: list[tuple[str, str, str]], known: dict[str, int]):
+    def __init__(self, rows: list[tuple[str, str, str]], known: dict[str, int], least: int = 3):
         edit, join, line = [], [], []
         for what, seen, label in rows:
             if what == "edit":
@@ -169,7 +171,8 @@ class ScanModels:
             else:
                 left, mark, right = seen.split("\t")
                 join.append((hyphen_features(left, mark, right, known.get(left + right, 0), known.get(f"{left}-{right}", 0)), what))
-        self.edit = AveragedPerceptron().train(edit)
+        count = Counter(e for _, e in edit)
+        self.edit = AveragedPerceptron().train([x for x in edit if count[x[1]] >= least])
         self.join = AveragedPerceptron().train(join or [(["bias"], "join"), (["compoundTrue"], "keep")])
         self.line = AveragedPerceptron().train(line) if line else None
 
@@ -186,7 +189,7 @@ class ScanModels:
         return "other" if says == "other" else ""
 
 
-def train(pages: DataFrame, documents: DataFrame, vocabulary: DataFrame, sample_pages: int = 3_000, most_chars: int = 20_000) -> ScanModels:
+def train(pages: DataFrame, documents: DataFrame, vocabulary: DataFrame, sample_pages: int = 2_000, most_chars: int = 20_000) -> ScanModels:
     """Learns from at most ``sample_pages`` scanned pages of at most ``most_chars`` characters, those with the smallest hashes of their ids."""
     spark = pages.sparkSession
     sample = pages.filter(F.length("text") <= most_chars).orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
@@ -207,7 +210,7 @@ def train(pages: DataFrame, documents: DataFrame, vocabulary: DataFrame, sample_
     return ScanModels(rows, known)
 
 
-def scan_noise(pages: DataFrame, documents: DataFrame, sample_pages: int = 3_000) -> DataFrame:
+def scan_noise(pages: DataFrame, documents: DataFrame, sample_pages: int = 2_000) -> DataFrame:
     """(page_id, line_no, kind, word): everything found on the scanned pages."""
     scanned = pages.filter("extraction_method = 'ocr' and text is not null and page_id is not null").select("page_id", "document_id", "page_number", "text")
     titles = documents.select(F.col("doc_id").alias("document_id"), "title").dropDuplicates(["document_id"])
@@ -262,12 +265,12 @@ def _misreads(parsed: DataFrame, vocabulary: DataFrame, shared) -> DataFrame:
     """Unknown tokens whose best known edit is at least as frequent as they are."""
     tokens = parsed.filter("kind = 'token'").select("page_id", "line_no", "word")
     own = cut(tokens.groupBy("word").agg(F.count("*").alias("n")))
-    unknown = own.join(vocabulary, "word", "left_anti")
+    unknown = own.filter(~F.col("word").rlike(CODE) & (F.length("word") <= 40)).join(vocabulary, "word", "left_anti")
 
     def edit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value.edit
         for b in batches:
-            rows = [(w, n, t, s) for w, n in zip(b["word"], b["n"]) for t, s in (best_edits(m, w) if m.classes else [])]
+            rows = [(w, n, t, s) for w, n in zip(b["word"], b["n"]) for t, s in (best_edits(m, w) if m.classes else ()) if t.lower() != w.lower()]
             yield records(rows, ["word", "n", "candidate", "score"])
 
     made = unknown.mapInPandas(edit, "word string, n long, candidate string, score double")
