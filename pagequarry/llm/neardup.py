@@ -3,8 +3,8 @@
 Method: grouped prefix join. A page is its set of word shingles, as 64-bit hashes. All shingles are
 ordered by an estimate of their frequency (a count sketch of fixed width), rare ones first; two sets of Jaccard similarity t share a
 shingle within their first ``n - ceil(t n) + 1``. Pages of equal prefix and size collapse into one
-group; only groups meet, by prefix shingle, under length and position filters; surviving group pairs
-are expanded to their distinct sets and verified exactly. No candidate is dropped: a hot prefix
+group; only groups meet, by prefix shingle, under length and position filters; group pairs are then
+expanded to pairs of distinct sets, of which 512-bit parities bound the overlap, and those left over are verified exactly. No candidate is dropped: a hot prefix
 shingle is divided into blocks that meet pairwise in separate tasks.
 
 Defined results: null and short texts (under ``min_words``) have no partner; exact copies are linked
@@ -94,6 +94,12 @@ def shingle_sketch(pages: DataFrame, text: str, k: int, min_words: int) -> np.nd
     return out
 
 
+def parity(s: np.ndarray) -> list[int]:
+    """512 bits, each the parity of the shingles that fall on it; two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def prefix_length(n: np.ndarray | int, t: float):
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
@@ -105,7 +111,7 @@ def signatures(pages: DataFrame, key: str, text: str, k: int, t: float, min_word
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, counts = Shingler(k), shared.value
         for b in batches:
-            ids, sets, groups, sizes, rows = [], [], [], [], []
+            ids, sets, groups, sizes, rows, bits = [], [], [], [], [], []
             for i, x in zip(b["id"], b["text"]):
                 if x is None:
                     continue
@@ -120,10 +126,11 @@ def signatures(pages: DataFrame, key: str, text: str, k: int, t: float, min_word
                 groups.append(xxhash.xxh3_64_intdigest(raw[: 8 * p] + len(s).to_bytes(8, "little"), seed=1) - 2**63)
                 sizes.append(len(s))
                 rows.append(raw)
-            yield objects({"id": ids, "set_id": np.array(sets, np.int64), "group_id": np.array(groups, np.int64), "n": np.array(sizes, np.int32), "ordered": rows})
+                bits.append(parity(s))
+            yield objects({"id": ids, "set_id": np.array(sets, np.int64), "group_id": np.array(groups, np.int64), "n": np.array(sizes, np.int32), "ordered": rows, "bits": bits})
 
     rows = pages.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "id long, set_id long, group_id long, n int, ordered binary")
+    return rows.mapInPandas(run, "id long, set_id long, group_id long, n int, ordered binary, bits array<long>")
 
 
 def _meet(pdf_iter: Iterator[pd.DataFrame], t: float) -> Iterator[pd.DataFrame]:
@@ -189,15 +196,18 @@ def similar_pairs(pages: DataFrame, key: str = "page_id", text: str = "text", k:
     sketch = shingle_sketch(pages, text, k, min_words)
     sig = cut(signatures(pages, key, text, k, t, min_words, sketch))
     members = sig.select("set_id", "id").distinct()
-    slim = sig.select("group_id", "set_id").distinct()
-    crowded = slim.groupBy("group_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("group_id").alias("ga"), F.col("group_id").alias("gb"))
+    sets = sig.groupBy("set_id", "group_id", "n").agg(F.first("bits").alias("bits"))
+    crowded = sets.groupBy("group_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("group_id").alias("ga"), F.col("group_id").alias("gb"))
+    side = lambda x: sets.select(F.col("group_id").alias(f"g{x}"), F.col("set_id").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     # group pairs, and the pairs within a group, expand to pairs of different sets
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda m, x: m + x)
     cand = (
         _group_pairs(sig, sketch, t, block)
         .unionByName(crowded)
-        .join(slim.select(F.col("group_id").alias("ga"), F.col("set_id").alias("sa")), "ga")
-        .join(slim.select(F.col("group_id").alias("gb"), F.col("set_id").alias("sb")), "gb")
+        .join(side("a"), "ga")
+        .join(side("b"), "gb")
         .filter((F.col("ga") != F.col("gb")) | (F.col("sa") < F.col("sb")))
+        .filter((F.col("na") + F.col("nb") - differ) / 2.0 >= t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9)
         .select(F.least("sa", "sb").alias("set_a"), F.greatest("sa", "sb").alias("set_b"))
     )
     body = sig.groupBy("set_id").agg(F.first("ordered").alias("ordered"))

@@ -4,8 +4,8 @@ Method: an averaged-perceptron character editor. For every character of a token
 its place: the character itself (keep), another (replace), none (delete) or two (insert); for the break at a line's end a second
 perceptron predicts joining with or without the hyphen; a third one tells running lines from text by their place on the page.
 All three are trained on a bounded sample of pages (``sample_pages``) that is aligned with the clean reading text of their documents.
-The editor's best edits are held against the corpus vocabulary, which counts all documents; an unknown token is replaced by the known word
-that scores best.
+The editor's best edits are held against the corpus vocabulary, which counts all documents and native pages; an unknown token is
+replaced by the known word that scores best, if that is at least twice as frequent.
 
 Kinds found: header (a line with the document's running title at top or bottom), page_number, hyphen (a word broken at the line's end, with the whole
 word), misread (with the right word). Defined results: null and empty texts, null methods and pages of other methods give nothing; rows
@@ -214,7 +214,9 @@ def scan_noise(pages: DataFrame, documents: DataFrame, sample_pages: int = 2_000
     """(page_id, line_no, kind, word): everything found on the scanned pages."""
     scanned = pages.filter("extraction_method = 'ocr' and text is not null and page_id is not null").select("page_id", "document_id", "page_number", "text")
     titles = documents.select(F.col("doc_id").alias("document_id"), "title").dropDuplicates(["document_id"])
-    vocabulary = cut(count_words(documents, "text", "title"))
+    # native pages have the words of notices, which are in no document's reading text
+    native = count_words(pages.filter("extraction_method = 'native'"), "text")
+    vocabulary = cut(count_words(documents, "text", "title").unionByName(native).groupBy("word").agg(F.sum("f").alias("f")))
     models = train(scanned, documents, vocabulary, sample_pages)
     shared = pages.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
     titled = scanned.join(titles, "document_id", "left")
@@ -262,7 +264,7 @@ def _joins(parsed: DataFrame, vocabulary: DataFrame, shared) -> DataFrame:
 
 
 def _misreads(parsed: DataFrame, vocabulary: DataFrame, shared) -> DataFrame:
-    """Unknown tokens whose best known edit is at least as frequent as they are."""
+    """Unknown tokens with the best of their edits that are known words, at least twice as frequent as they are."""
     tokens = parsed.filter("kind = 'token'").select("page_id", "line_no", "word")
     own = cut(tokens.groupBy("word").agg(F.count("*").alias("n")))
     unknown = own.filter(~F.col("word").rlike(CODE) & (F.length("word") <= 40)).join(vocabulary, "word", "left_anti")
@@ -274,9 +276,7 @@ def _misreads(parsed: DataFrame, vocabulary: DataFrame, shared) -> DataFrame:
             yield records(rows, ["word", "n", "candidate", "score"])
 
     made = unknown.mapInPandas(edit, "word string, n long, candidate string, score double")
-    # what documents say, and what scanned pages say often enough (their notices and titles are in no document's text)
-    said = vocabulary.select(F.col("word").alias("candidate"), "f").unionByName(own.filter("n >= 20").select(F.col("word").alias("candidate"), (F.col("n") / 10).cast("long").alias("f")))
-    known = made.join(said.groupBy("candidate").agg(F.max("f").alias("f")), "candidate").filter("f >= n")
+    known = made.join(vocabulary.withColumnRenamed("word", "candidate"), "candidate").filter("f >= 2 * n")
     best = known.groupBy("word").agg(F.max_by("candidate", F.struct(F.col("score") + F.log("f"), F.col("candidate"))).alias("right_word"))
     return tokens.join(best, "word").select("page_id", "line_no", F.lit("misread").alias("kind"), F.col("right_word").alias("word"), F.col("word").alias("_seen")).drop("_seen")
 
