@@ -1,0 +1 @@
+"""Column functions and vectorised functions on text, layouts and models."""
