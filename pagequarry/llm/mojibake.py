@@ -211,8 +211,10 @@ def candidates(tokens: DataFrame, least_ratio: float = 4.0, least_count: int = 3
     cyrillic = F.col("word").rlike("[Ѐ-ӿ]") & F.col("raw").rlike("[Ѐ-ӿ]")
     short = (cyrillic & (F.col("beyond") <= 2)) | (F.length("word") <= 1)
     weak = (F.col("fr") >= least_count) & (F.col("fr") >= least_ratio * F.col("f")) & (~short | (ratio >= 4.0))
-    gain = F.when(F.col("strong"), 5.0 + F.log(F.col("fr") + 1.0)).otherwise(ratio)
-    kept = known.filter(F.col("strong") | weak).select("word", F.struct(F.col("channel"), gain.alias("gain"), F.lit(None).cast("string").alias("restored")).alias("option"))
+    # short words alone prove nothing, but follow the channel of their neighbours
+    follows = (F.col("fr") >= least_count) & (F.col("fr") >= F.col("f"))
+    gain = F.when(F.col("strong"), 5.0 + F.log(F.col("fr") + 1.0)).when(weak, ratio).otherwise(0.001)
+    kept = known.filter(F.col("strong") | weak | follows).select("word", F.struct(F.col("channel"), gain.alias("gain"), F.lit(None).cast("string").alias("restored")).alias("option"))
     # lost characters: words of the same pattern, the most frequent first
     pattern = F.regexp_replace("word", r"[^\x00-\x7f]", LOST)
     whole = words.filter(~F.col("word").contains(LOST)).groupBy(pattern.alias("pattern")).agg(F.max_by("word", F.struct("f", "word")).alias("best"), F.max("f").alias("fb"))

@@ -13,21 +13,22 @@ to the smallest id of their copies, see ``similar_pairs``; rows delivered twice
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagequarry.frames import objects
 from pagequarry.session import cut, shuffle_partitions
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
+BLOOM_BITS = 24
+TABLE_BLOCKS = 256
 
 
 class Shingler:
@@ -64,34 +65,70 @@ def _bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def shingle_sketch(pages: DataFrame, text: str, k: int, min_words: int) -> np.ndarray:
-    """Pages per sketch bucket, 2**SKETCH_BITS numbers whatever the corpus; computed over all pages.
+def _fixed_table(parts: DataFrame, size: int, kind: type, combine) -> np.ndarray:
+    """One table of ``size`` numbers from (block, part) rows of all tasks, combined block by block; its size is the same for every corpus."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = combine([np.frombuffer(x, kind) for x in pdf["part"]])
+        return objects({"block": [pdf["block"].iloc[0]], "part": [total.astype(kind).tobytes()]})
+
+    out = np.zeros(size, kind)
+    width = size // TABLE_BLOCKS
+    for r in parts.groupBy("block").applyInPandas(add, "block int, part binary").collect():
+        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["part"], kind)
+    return out
 
-    Each task adds up its own counts and emits them in 256 blocks, so that the sum is a plain
-    aggregation over blocks and the driver receives one fixed-size table.
-    """
-    blocks = 256
-    width = 2**SKETCH_BITS // blocks
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+def _blocks(table: np.ndarray) -> pd.DataFrame:
+    width = len(table) // TABLE_BLOCKS
+    return objects({"block": range(TABLE_BLOCKS), "part": [table[i * width : (i + 1) * width].tobytes() for i in range(TABLE_BLOCKS)]})
+
+
+def shingle_sketch(pages: DataFrame, text: str, k: int, min_words: int) -> np.ndarray:
+    """Pages per sketch bucket, up to 65,535; 2**SKETCH_BITS numbers, computed over all pages. Each task adds up its own pages first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, total = Shingler(k), np.zeros(2**SKETCH_BITS, np.int32)
         for b in batches:
+            found = []
             for t in b["text"]:
                 if t is not None:
                     n, s = shingle(t)
                     if n >= min_words:
-                        np.add.at(total, _bucket(s), 1)
-        yield pd.DataFrame({"block": range(blocks), "counts": [total[i * width : (i + 1) * width].tobytes() for i in range(blocks)]})
+                        found.append(_bucket(s))
+            if found:
+                np.add.at(total, np.concatenate(found), 1)
+        yield _blocks(np.minimum(total, 65_535).astype(np.uint16))
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+    parts = pages.select(F.col(text).alias("text")).mapInPandas(run, "block int, part binary")
+    return _fixed_table(parts, 2**SKETCH_BITS, np.uint16, lambda xs: np.minimum(sum(x.astype(np.int64) for x in xs), 65_535))
 
-    rows = pages.select(F.col(text).alias("text")).mapInPandas(run, "block int, counts binary")
-    out = np.zeros(2**SKETCH_BITS, np.int32)
-    for r in rows.groupBy("block").applyInPandas(add, "block int, counts binary").collect():
-        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["counts"], np.int32)
-    return out
+
+def _bloom_at(ids: np.ndarray) -> np.ndarray:
+    """Three bits of each id, as positions; ids are hashes already."""
+    u = ids.astype(np.int64).view(np.uint64)
+    mask = np.uint64(2**BLOOM_BITS - 1)
+    return np.stack([(u >> np.uint64(x)) & mask for x in (0, 20, 40)]).astype(np.int64)
+
+
+def _keep_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose set_id may be among ``wanted``: a Bloom filter of 2 MB spares all others the shuffle; the join after it is exact."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(2**BLOOM_BITS, bool)
+        for b in batches:
+            bits[_bloom_at(b["set_id"].to_numpy()).ravel()] = True
+        yield _blocks(np.packbits(bits))
+
+    table = _fixed_table(wanted.mapInPandas(run, "block int, part binary"), 2**BLOOM_BITS // 8, np.uint8, np.bitwise_or.reduce)
+    shared = rows.sparkSession.sparkContext.broadcast(table)  # of fixed size
+
+    @F.pandas_udf(T.BooleanType())
+    def known(ids: pd.Series) -> pd.Series:
+        at = _bloom_at(ids.to_numpy())
+        return pd.Series(((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0))
+
+    return rows.filter(known("set_id"))
 
 
 def parity(s: np.ndarray) -> list[int]:
@@ -201,7 +238,7 @@ def similar_pairs(pages: DataFrame, key: str = "page_id", text: str = "text", k:
     side = lambda x: sets.select(F.col("group_id").alias(f"g{x}"), F.col("set_id").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
     # group pairs, and the pairs within a group, expand to pairs of different sets
     differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda m, x: m + x)
-    cand = (
+    cand = cut(
         _group_pairs(sig, sketch, t, block)
         .unionByName(crowded)
         .join(side("a"), "ga")
@@ -210,7 +247,8 @@ def similar_pairs(pages: DataFrame, key: str = "page_id", text: str = "text", k:
         .filter((F.col("na") + F.col("nb") - differ) / 2.0 >= t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9)
         .select(F.least("sa", "sb").alias("set_a"), F.greatest("sa", "sb").alias("set_b"))
     )
-    body = sig.groupBy("set_id").agg(F.first("ordered").alias("ordered"))
+    wanted = cand.select(F.col("set_a").alias("set_id")).unionByName(cand.select(F.col("set_b").alias("set_id")))
+    body = _keep_wanted(sig.select("set_id", "ordered"), wanted).groupBy("set_id").agg(F.first("ordered").alias("ordered"))
     both = cand.join(body.select(F.col("set_id").alias("set_a"), F.col("ordered").alias("xa")), "set_a").join(body.select(F.col("set_id").alias("set_b"), F.col("ordered").alias("xb")), "set_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

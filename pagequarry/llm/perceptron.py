@@ -21,12 +21,9 @@ class AveragedPerceptron:
         return total
 
     def predict(self, features: list[str]) -> str:
-        """The class of the highest score; the first class in order where none is above 0."""
-        best, top = self.classes[0], 0.0
-        for c, v in self.scores(features).items():
-            if v > top or v == top and v > 0 and c < best:
-                best, top = c, v
-        return best
+        """The class of the highest score; the more frequent one of equals."""
+        s = self.scores(features)
+        return max(self.classes, key=lambda c: s.get(c, 0.0))
 
     def train(self, examples: list[tuple[list[str], str]], epochs: int = 3, seed: int = 1) -> AveragedPerceptron:
         """examples: features and their class. The result is the mean of the weights over all steps."""
