@@ -38,9 +38,10 @@ class AveragedPerceptron:
             for i in index:
                 features, right = examples[i]
                 at += 1
-                guess = self.predict(features)
-                if guess == right:
-                    continue
+                s = self.scores(features)
+                guess = max((c for c in self.classes if c != right), key=lambda c: s.get(c, 0.0), default=right)
+                if guess == right or s.get(guess, 0.0) < s.get(right, 0.0):
+                    continue  # a tie counts as an error
                 for f in features:
                     w = rows.setdefault(f, {})
                     for c, d in ((right, 1.0), (guess, -1.0)):
