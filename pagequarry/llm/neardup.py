@@ -4,7 +4,7 @@ Method: grouped prefix join. A page is its set of word shingles, as 64-bit hashe
 ordered by an estimate of their frequency (a count sketch of fixed width), rare ones first; two sets of Jaccard similarity t share a
 shingle within their first ``n - ceil(t n) + 1``. Pages of equal prefix and size collapse into one
 group; only groups meet, by prefix shingle, under length and position filters; group pairs are then
-expanded to pairs of distinct sets, of which 512-bit parities bound the overlap, and those left over are verified exactly. No candidate is dropped: a hot prefix
+expanded to pairs of distinct sets, of which 256-bit parities bound the overlap, and those left over are verified exactly. No candidate is dropped: a hot prefix
 shingle is divided into blocks that meet pairwise in separate tasks.
 
 Defined results: null and short texts (under ``min_words``) have no partner; exact copies are linked
@@ -132,8 +132,8 @@ def _keep_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def parity(s: np.ndarray) -> list[int]:
-    """512 bits, each the parity of the shingles that fall on it; two sets differ in at least as many shingles as bits."""
-    odd = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    """256 bits, each the parity of the shingles that fall on it; two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
@@ -306,7 +306,7 @@ def _group_pairs(sig: DataFrame, sketch: np.ndarray, t: float, block: int) -> Da
         F.when(F.col("blk") == F.col("other"), 0).when(F.col("blk") < F.col("other"), 1).otherwise(2).alias("side"),
     )
     found_hot = met.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "n", "group_id").mapInPandas(lambda it: _meet(it, t), "ga long, gb long")
-    return found.unionByName(found_hot).distinct()
+    return found.unionByName(found_hot).repartition(parts, "ga").distinct()  # the join on ga that follows needs no other shuffle
 
 
 def near_duplicate_pages(pages: DataFrame, key: str = "page_id", text: str = "text", k: int = 5, t: float = 0.8, min_words: int = 1) -> DataFrame:
