@@ -12,11 +12,14 @@ from pagequarry.functions.text import query_tokens, terms
 K1, B = 1.2, 0.75
 
 
+def page_terms(pages: DataFrame) -> DataFrame:
+    """(page_id, document_id, terms, dl) of each delivered row: a map over the pages."""
+    return pages.select("page_id", "document_id", terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
+
+
 def indexed_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, document_id, terms, dl): one row a page. Pages of withdrawn documents stay in the index and its statistics."""
-    one = pages.select("page_id", "document_id", "text").dropDuplicates(["page_id"])
-    t = one.select("page_id", "document_id", terms(F.col("text")).alias("terms"))
-    return t.withColumn("dl", F.size("terms"))
+    """The same, one row a page. Pages of withdrawn documents stay in the index and its statistics."""
+    return page_terms(pages).dropDuplicates(["page_id"])
 
 
 def postings(index: DataFrame) -> DataFrame:
@@ -25,14 +28,16 @@ def postings(index: DataFrame) -> DataFrame:
 
 
 def term_stats(pages: DataFrame) -> DataFrame:
-    """(term, df, cf): pages that have the term, and its occurrences. Counted within the page before the shuffle."""
+    """(term, df, cf): pages that have the term, and its occurrences. The page's count needs no further shuffle: its terms lie together."""
     one = indexed_pages(pages).select("page_id", F.explode("terms").alias("term"))
     per_page = one.groupBy("page_id", "term").agg(F.count("*").alias("tf"))
     return per_page.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def corpus_stats(index: DataFrame) -> DataFrame:
-    return index.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+def corpus_stats(pages: DataFrame) -> DataFrame:
+    """(n, total): pages and their terms; lengths alone are shuffled."""
+    lengths = page_terms(pages).select("page_id", "dl").dropDuplicates(["page_id"])
+    return lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
 
 
 def _count(phrase: list[str]) -> Column:
@@ -59,7 +64,7 @@ def bm25(pages: DataFrame, documents: DataFrame, query: str, limit: int | None =
     if not tokens:
         return pages.sparkSession.createDataFrame([], "page_id long, score double")
     tf = [_count(p).alias(f"tf{i}") for i, p in enumerate(tokens)]
-    counted = indexed_pages(pages).select("page_id", "document_id", "dl", *tf)
+    counted = page_terms(pages).select("page_id", "document_id", "dl", *tf).dropDuplicates(["page_id"])  # counts are shuffled, texts are not
     stats = counted.agg(F.count("*").alias("n"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(tokens))])
     hit = counted.filter(" AND ".join(f"tf{i} > 0" for i in range(len(tokens))))
     scored = hit.crossJoin(F.broadcast(stats))  # one row
@@ -82,10 +87,10 @@ def bm25_many(pages: DataFrame, documents: DataFrame, queries: DataFrame, key: s
     kind = queries.schema[key].dataType.simpleString()
     q = spark.createDataFrame(flat, f"{key} {kind}, term string").groupBy(key, "term").agg(F.count("*").alias("times"))
     need = q.groupBy(key).agg(F.count("*").alias("need"))
-    wanted = F.broadcast(q.select("term").distinct())  # at most the queries' terms
-    index = indexed_pages(pages)
-    stats = corpus_stats(index)
-    tf = index.select("page_id", "document_id", "dl", F.explode("terms").alias("term")).join(wanted, "term", "left_semi").groupBy("page_id", "document_id", "dl", "term").agg(F.count("*").alias("tf"))
+    stats = corpus_stats(pages)
+    listed = F.array(*[F.lit(t) for t in sorted({t for _, t in flat})]).cast("array<string>")
+    found = page_terms(pages).withColumn("hit", F.array_intersect(listed, "terms")).filter(F.size("hit") > 0)
+    tf = found.select("page_id", "document_id", "dl", F.inline(F.transform("hit", lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf"))))).dropDuplicates(["page_id", "term"])
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weight = q.join(df, "term").crossJoin(F.broadcast(stats)).select(key, "term", "times", idf(F.col("n"), F.col("df")).alias("idf"), (F.col("total") / F.col("n")).alias("avgdl"))
     part = F.col("times") * F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

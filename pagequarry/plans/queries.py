@@ -32,6 +32,11 @@ def _pages(s: SparkSession, d: str, *columns: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", *columns).dropDuplicates(["page_id"])
 
 
+def _delivered(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Every delivered row, for functions of single rows: they need no shuffle."""
+    return table(s, d, "pages").select("page_id", *columns)
+
+
 def _query_vector(s: SparkSession, d: str) -> list[float]:
     first = semantic.usable(table(s, d, "passage_vectors"), 64).filter(F.exists("embedding", lambda x: x != 0)).orderBy("embedding_id").select("embedding").first()
     return [float(x) for x in first[0]]
@@ -41,19 +46,19 @@ def _query_vector(s: SparkSession, d: str) -> list[float]:
 
 @query
 def normalize_text(s, d):
-    return _pages(s, d, "text").select("page_id", tx.normalize_text("text").alias("normalized"))
+    return _delivered(s, d, "text").select("page_id", tx.normalize_text("text").alias("normalized"))
 
 
 @query
 def stale_normalized(s, d):
     """Pages whose stored normalised text differs from today's normalisation."""
-    p = _pages(s, d, "text", "normalized_text")
-    return p.filter(~tx.normalize_text("text").eqNullSafe(F.col("normalized_text"))).select("page_id")
+    p = _delivered(s, d, "text", "normalized_text")
+    return p.filter(~tx.normalize_text("text").eqNullSafe(F.col("normalized_text"))).select("page_id").distinct()
 
 
 @query
 def tokenize_terms(s, d):
-    return _pages(s, d, "text").select("page_id", F.array_join(tx.terms(F.col("text")), " ").alias("terms"))
+    return _delivered(s, d, "text").select("page_id", F.array_join(tx.terms(F.col("text")), " ").alias("terms"))
 
 
 @query
@@ -64,7 +69,7 @@ def content_sha256(s, d):
 @query
 def page_words(s, d):
     """Words, characters and layout sums of each page: running offsets of words joined by single spaces."""
-    w = _pages(s, d, "text").select("page_id", tx.words(F.col("text")).alias("w"))
+    w = _delivered(s, d, "text").select("page_id", tx.words(F.col("text")).alias("w"))
     n = F.size("w")
     ends = F.when(n > 0, F.aggregate("w", F.lit(0), lambda a, x: a + F.length(x)) + n - 1).otherwise(0)
     starts = F.aggregate("w", F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("sum")), lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), (a["sum"] + a["at"]).alias("sum")))["sum"]
@@ -74,14 +79,14 @@ def page_words(s, d):
 @query
 def layout_words(s, d):
     """The stored layouts, unpacked: words, their last end and whether they agree with the page's text."""
-    p = _pages(s, d, "text", "layout_json").filter("layout_json is not null").withColumn("l", layout.unpack_layout(F.col("layout_json")))
+    p = _delivered(s, d, "text", "layout_json").filter("layout_json is not null").withColumn("l", layout.unpack_layout(F.col("layout_json")))
     same = F.array_join(F.transform("l", lambda w: w["t"]), " ") == F.array_join(tx.words(F.col("text")), " ")
     return p.select("page_id", F.size("l").alias("n_words"), F.try_element_at("l", F.lit(-1))["e"].alias("n_chars"), same.alias("agrees"))
 
 
 @query
 def chunk_passages(s, d):
-    return chunks.chunk_passages(_pages(s, d, "text"))
+    return chunks.chunk_passages(_delivered(s, d, "text"))
 
 
 # ---- aggregates and listings
@@ -132,7 +137,7 @@ def semantic_coverage(s, d):
 
 @query
 def ocr_gate(s, d):
-    p = _pages(s, d, "normalized_text", "text").withColumn("n", F.length(F.coalesce("normalized_text", F.lit("")))).withColumn("w", F.size(tx.words(F.col("text"))))
+    p = _delivered(s, d, "normalized_text", "text").withColumn("n", F.length(F.coalesce("normalized_text", F.lit("")))).withColumn("w", F.size(tx.words(F.col("text"))))
     return p.select("page_id", layout.needs_ocr(F.col("n"), F.col("w"), F.lit(0.0)).alias("needs_ocr"), layout.full_ocr(F.col("n")).alias("full_ocr"))
 
 
@@ -155,7 +160,7 @@ def postings_stats(s, d):
 
 @query
 def corpus_stats(s, d):
-    return lexical.corpus_stats(lexical.indexed_pages(table(s, d, "pages"))).select("n", "total", F.round(F.col("total") / F.col("n"), 6).alias("avgdl"))
+    return lexical.corpus_stats(table(s, d, "pages")).select("n", "total", F.round(F.col("total") / F.col("n"), 6).alias("avgdl"))
 
 
 def _bm25(s, d, q):
@@ -277,7 +282,7 @@ def semantic_search(s, d):
 @query
 def snippets(s, d):
     """The snippet of an exact hit for every page: its first words."""
-    p = _pages(s, d, "text").withColumn("w", tx.words(F.col("text")))
+    p = _delivered(s, d, "text").withColumn("w", tx.words(F.col("text")))
     return p.select("page_id", results.snippet(F.col("w"), F.lit(0), F.least(F.size("w"), F.lit(60))).alias("snippet"))
 
 

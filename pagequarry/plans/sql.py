@@ -75,12 +75,12 @@ _MISSING = """ms AS (SELECT DISTINCT passage_id, page_id FROM passages WHERE act
 def oracle_sql() -> dict[str, str]:
     bm = "SELECT page_id, round(score, 6) AS score FROM lex"
     return {
-        "tokenize_terms": f"WITH {_IX} SELECT page_id, array_to_string(terms, ' ') AS terms FROM ix",
+        "tokenize_terms": f"SELECT page_id, array_to_string(coalesce({_terms('text')}, []), ' ') AS terms FROM pages",
         "content_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
-        "page_words": f"""WITH {_PG}, w AS (SELECT page_id, coalesce({_words('text')}, []) AS w FROM pg)
+        "page_words": f"""WITH w AS (SELECT page_id, coalesce({_words('text')}, []) AS w FROM pages)
             SELECT page_id, len(w) AS n_words, CASE WHEN len(w) = 0 THEN 0 ELSE list_sum(list_transform(w, lambda x: length(x)))::BIGINT + len(w) - 1 END AS n_chars,
             coalesce(list_sum(list_transform(w, lambda x, i: (length(x) + 1) * (len(w) - i))), 0)::BIGINT AS sum_starts FROM w""",
-        "chunk_passages": f"WITH {_PG}, {_CHUNKS} SELECT page_id, ordinal, ordinal * 220 AS word_start, least(ordinal * 220 + 260, n)::INTEGER AS word_end, array_to_string(w[ordinal * 220 + 1 : least(ordinal * 220 + 260, n)], ' ') AS text FROM k",
+        "chunk_passages": f"WITH {_CHUNKS.replace('FROM pg', 'FROM pages')} SELECT page_id, ordinal, ordinal * 220 AS word_start, least(ordinal * 220 + 260, n)::INTEGER AS word_end, array_to_string(w[ordinal * 220 + 1 : least(ordinal * 220 + 260, n)], ' ') AS text FROM k",
         "corpus_counts": "SELECT count(*) AS documents, coalesce(sum(page_count), 0)::BIGINT AS pages FROM documents WHERE active",
         "document_list": "SELECT doc_id, title, path, page_count, state, error, indexed_at FROM documents ORDER BY title NULLS FIRST, doc_id LIMIT 100",
         "document_titles": "SELECT doc_id, regexp_extract(path, '([^/]+?)(\\.[^./]*)?$', 1) AS stem FROM documents",
@@ -89,7 +89,7 @@ def oracle_sql() -> dict[str, str]:
         "document_states": "SELECT source, count(*) AS processed, count(*) FILTER (state = 'indexed') AS indexed, count(*) FILTER (state = 'failed') AS failed FROM documents GROUP BY source",
         "source_list": "SELECT root_id, path, coalesce(documents, 0) AS documents, last_scanned_at IS NOT NULL AS scanned FROM source_roots LEFT JOIN (SELECT source, count(*) AS documents FROM documents GROUP BY source) USING (source)",
         "semantic_coverage": "SELECT count(*) AS total, count(e) AS embedded, count(*) > 0 AND count(*) = count(e) AS ready FROM (SELECT passage_id, max(embedding_id) AS e FROM passages WHERE active GROUP BY 1)",
-        "ocr_gate": f"WITH {_PG} SELECT page_id, length(coalesce(normalized_text, '')) < 50 AS needs_ocr, length(coalesce(normalized_text, '')) < 10 AS full_ocr FROM pg",
+        "ocr_gate": "SELECT page_id, length(coalesce(normalized_text, '')) < 50 AS needs_ocr, length(coalesce(normalized_text, '')) < 10 AS full_ocr FROM pages",
         "ocr_failed_docs": "SELECT count(DISTINCT document_id) AS documents FROM pages WHERE warning ILIKE 'OCR unavailable:%'",
         "ocr_requeue": "SELECT doc_id, CASE WHEN doc_id IN (SELECT document_id FROM pages WHERE warning ILIKE 'OCR unavailable:%') THEN 'pending' ELSE state END AS state FROM documents",
         "postings_stats": f"WITH {_IX}, t AS (SELECT page_id, unnest(terms) AS term FROM ix) SELECT term, count(DISTINCT page_id) AS df, count(*) AS cf FROM t GROUP BY term",
@@ -119,7 +119,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT pos, page_id, document_id, title, path, page_number, round(score, 6) AS score, array_to_string(w[greatest(0, s - 12) + 1 : least(len(w), greatest(e, s + 50) + 12)], ' ') AS snippet, extraction_method, coalesce(nullif(warning, ''), error) AS warning,
             '/api/documents/' || document_id || '/pdf#page=' || page_number AS pdf_url FROM o JOIN documents ON doc_id = document_id""",
         "semantic_search": f"{_ONLY_SEM}, {_blend(_OVERLAP)} SELECT page_id, round(score, 6) AS score FROM b ORDER BY round(b.score, 9) DESC, fused_rank LIMIT 10",
-        "snippets": f"WITH {_PG}, w AS (SELECT page_id, coalesce({_words('text')}, []) AS w FROM pg) SELECT page_id, array_to_string(w[1 : least(len(w), greatest(least(len(w), 60), 50) + 12)], ' ') AS snippet FROM w",
+        "snippets": f"WITH w AS (SELECT page_id, coalesce({_words('text')}, []) AS w FROM pages) SELECT page_id, array_to_string(w[1 : least(len(w), greatest(least(len(w), 60), 50) + 12)], ' ') AS snippet FROM w",
         "highlights": f"WITH {_PG}, q AS (SELECT DISTINCT unnest(string_split(replace(lower(term), 'ß', 'ss'), ' ')) AS word FROM search_terms), n AS (SELECT page_id, string_split(normalized_text, ' ') AS a FROM pg WHERE normalized_text IS NOT NULL), x AS (SELECT page_id, unnest(a) AS word, unnest(range(0, len(a)))::INTEGER AS word_no FROM n) SELECT page_id, word_no, word FROM x WHERE word IN (SELECT word FROM q)",
         "result_hydrate": f"WITH {_PG} SELECT page_id, title, coalesce(nullif(warning, ''), error) AS warning, '/api/documents/' || document_id || '/pdf#page=' || page_number AS pdf_url FROM pg JOIN documents ON doc_id = document_id",
         "change_classify": f"WITH {_CHANGES} SELECT path, doc_id, change FROM ch",

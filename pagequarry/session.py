@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,20 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hands this package to the executors, once for each Spark context; they need no copy of their own."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pagequarry_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="pagequarry-"), "pagequarry.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    whole = os.path.join(folder, n)
+                    z.write(whole, os.path.join("pagequarry", os.path.relpath(whole, package)))
+    sc.addPyFile(path)  # the driver serves it; executors read nothing from the driver's folders
+    sc._pagequarry_shipped = True

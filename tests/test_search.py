@@ -61,7 +61,7 @@ def test_postings_and_stats(corpus):
     assert p["corrosion", 3] == (3, 8) and p["bolt", 7] == (2, 4)
     s = {r["term"]: (r["df"], r["cf"]) for r in lexical.term_stats(corpus.pages).collect()}
     assert s["corrosion"] == (2, 4)
-    assert tuple(lexical.corpus_stats(index).first()) == (8, sum(v for v, in [(r["dl"],) for r in index.collect()]))
+    assert tuple(lexical.corpus_stats(corpus.pages).first()) == (8, sum(v for v, in [(r["dl"],) for r in index.collect()]))
 
 
 def test_exact_is_exhaustive_and_provenanced(corpus):
