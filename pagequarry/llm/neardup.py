@@ -26,9 +26,10 @@ from pyspark.sql import types as T
 from pagequarry.frames import objects
 from pagequarry.session import cut, shuffle_partitions
 
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 BLOOM_BITS = 24
 TABLE_BLOCKS = 256
+BITS = ("b0", "b1", "b2", "b3")
 
 
 class Shingler:
@@ -164,10 +165,10 @@ def signatures(pages: DataFrame, key: str, text: str, k: int, t: float, min_word
                 sizes.append(len(s))
                 rows.append(raw)
                 bits.append(parity(s))
-            yield objects({"id": ids, "set_id": np.array(sets, np.int64), "group_id": np.array(groups, np.int64), "n": np.array(sizes, np.int32), "ordered": rows, "bits": bits})
+            yield objects({"id": ids, "set_id": np.array(sets, np.int64), "group_id": np.array(groups, np.int64), "n": np.array(sizes, np.int32), "ordered": rows} | {f"b{i}": [x[i] for x in bits] for i in range(4)})
 
     rows = pages.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "id long, set_id long, group_id long, n int, ordered binary, bits array<long>")
+    return rows.mapInPandas(run, "id long, set_id long, group_id long, n int, ordered binary, b0 long, b1 long, b2 long, b3 long")
 
 
 def _meet(pdf_iter: Iterator[pd.DataFrame], t: float) -> Iterator[pd.DataFrame]:
@@ -233,11 +234,11 @@ def similar_pairs(pages: DataFrame, key: str = "page_id", text: str = "text", k:
     sketch = shingle_sketch(pages, text, k, min_words)
     sig = cut(signatures(pages, key, text, k, t, min_words, sketch))
     members = sig.select("set_id", "id").distinct()
-    sets = sig.groupBy("set_id", "group_id", "n").agg(F.first("bits").alias("bits"))
+    sets = sig.select("set_id", "group_id", "n", *BITS).distinct()
     crowded = sets.groupBy("group_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("group_id").alias("ga"), F.col("group_id").alias("gb"))
-    side = lambda x: sets.select(F.col("group_id").alias(f"g{x}"), F.col("set_id").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
+    side = lambda x: sets.select(F.col("group_id").alias(f"g{x}"), F.col("set_id").alias(f"s{x}"), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in BITS])
     # group pairs, and the pairs within a group, expand to pairs of different sets
-    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda m, x: m + x)
+    differ = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in BITS), F.lit(0))
     cand = cut(
         _group_pairs(sig, sketch, t, block)
         .unionByName(crowded)

@@ -87,15 +87,42 @@ def edits(seen: str, right: str) -> list[str]:
     return out
 
 
-def best_edits(model: AveragedPerceptron, token: str, width: int = 6, most: int = 3) -> list[tuple[str, float]]:
+class Confusions:
+    """What the editor may put for a character: what training showed for it; a deletion goes with an edit of the character before."""
+
+    def __init__(self, pairs: list[tuple[str, str]], least: int = 2):
+        put: Counter[tuple[str, str]] = Counter()
+        gone: Counter[tuple[str, str]] = Counter()
+        for seen, right in pairs:
+            for i, e in enumerate(edits(seen, right)):
+                if e == "":
+                    gone[seen[i - 1 : i], seen[i]] += 1
+                elif e != "=":
+                    put[seen[i], e] += 1
+        self.put: dict[str, list[str]] = {}
+        for (c, e), n in sorted(put.items()):
+            if n >= least:
+                self.put.setdefault(c, []).append(e)
+        self.gone = {k for k, n in gone.items() if n >= least}
+
+
+def best_edits(model: AveragedPerceptron, confusions: Confusions, token: str, width: int = 16, most: int = 3) -> list[tuple[str, float]]:
     """The best outputs of the editor by a beam over characters, unchanged text left out; at most ``most`` edits each."""
-    beam: list[tuple[float, str, int]] = [(0.0, "", 0)]
+    beam: list[tuple[float, str, int, bool]] = [(0.0, "", 0, False)]
     for i, c in enumerate(token):
         s = model.scores(edit_features(token, i))
         keep = s.get("=", 0.0)
-        options = [(0.0, c, 0)] + sorted(((v - keep, k, 1) for k, v in s.items() if k != "=" and k != c), reverse=True)[:3]
-        beam = sorted(((b + g, t + o, n + e) for b, t, n in beam for g, o, e in options if n + e <= most + (o == "")), reverse=True)[:width]
-    return [(t, b) for b, t, n in beam if n and t != token]
+        options = [(s.get(o, 0.0) - keep, o) for o in confusions.put.get(c, ())]
+        drop = s.get("", 0.0) - keep if (token[i - 1 : i], c) in confusions.gone else None
+        step = []
+        for b, t, n, edited in beam:
+            step.append((b, t + c, n, False))
+            if n < most:
+                step.extend((b + g, t + o, n + 1, True) for g, o in options)
+            if drop is not None and edited:
+                step.append((b + drop, t, n, True))
+        beam = sorted(step, reverse=True)[:width]
+    return [(t, b) for b, t, n, _ in beam if n and t != token]
 
 
 def hyphen_features(left: str, mark: str, right: str, whole: int, compound: int) -> list[str]:
@@ -171,6 +198,7 @@ class ScanModels:
             else:
                 left, mark, right = seen.split("\t")
                 join.append((hyphen_features(left, mark, right, known.get(left + right, 0), known.get(f"{left}-{right}", 0)), what))
+        self.confusions = Confusions([(seen, label) for what, seen, label in rows if what == "edit" and seen != label])
         count = Counter(e for _, e in edit)
         self.edit = AveragedPerceptron().train([x for x in edit if count[x[1]] >= least])
         self.join = AveragedPerceptron().train(join or [(["bias"], "join"), (["compoundTrue"], "keep")])
@@ -270,9 +298,9 @@ def _misreads(parsed: DataFrame, vocabulary: DataFrame, shared) -> DataFrame:
     unknown = own.filter(~F.col("word").rlike(CODE) & (F.length("word") <= 40)).join(vocabulary, "word", "left_anti")
 
     def edit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value.edit
+        m = shared.value
         for b in batches:
-            rows = [(w, n, t, s) for w, n in zip(b["word"], b["n"]) for t, s in (best_edits(m, w) if m.classes else ()) if t.lower() != w.lower()]
+            rows = [(w, n, t, s) for w, n in zip(b["word"], b["n"]) for t, s in best_edits(m.edit, m.confusions, w) if t.lower() != w.lower()]
             yield records(rows, ["word", "n", "candidate", "score"])
 
     made = unknown.mapInPandas(edit, "word string, n long, candidate string, score double")
