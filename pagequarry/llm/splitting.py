@@ -77,8 +77,8 @@ def boundaries(text: str, start: int = 0, end: int | None = None, at_start: bool
     kinds = ["blank" if not x.strip() else "item" if _BULLET.match(x) else "text" for _, x in lines]
     closed = True  # whether the lines before have come to an end, so that a heading may follow
     for k, (_, x) in enumerate(lines):
-        if kinds[k] == "item" and not closed and x.lstrip()[0] in "-–—·*":
-            kinds[k] = "text"  # a dash within a sentence
+        if kinds[k] == "item" and not closed and (x.lstrip()[0] in "-–—·*" or x.lstrip()[0].isupper()):
+            kinds[k] = "text"  # a dash or a unit within a sentence
         if kinds[k] == "text" and closed and len(x.split()) <= 8 and _HEADING.match(x):
             kinds[k] = "heading"
         closed = kinds[k] != "text" or ends_sentence(x.split()[-1], None)
