@@ -90,7 +90,7 @@ def edits(seen: str, right: str) -> list[str]:
 class Confusions:
     """What the editor may put for a character: what training showed for it; a deletion goes with an edit of the character before."""
 
-    def __init__(self, pairs: list[tuple[str, str]], least: int = 2):
+    def __init__(self, pairs: list[tuple[str, str]], least: int = 2, share: float = 0.03):
         put: Counter[tuple[str, str]] = Counter()
         gone: Counter[tuple[str, str]] = Counter()
         for seen, right in pairs:
@@ -100,8 +100,11 @@ class Confusions:
                 elif e != "=":
                     put[seen[i], e] += 1
         self.put: dict[str, list[str]] = {}
+        total: Counter[str] = Counter()
+        for (c, _), n in put.items():
+            total[c] += n
         for (c, e), n in sorted(put.items()):
-            if n >= least:
+            if n >= max(least, share * total[c]):
                 self.put.setdefault(c, []).append(e)
         self.gone = {k for k, n in gone.items() if n >= least}
 
