@@ -33,7 +33,7 @@ class Leaf:
     """The templates of one path. A line joins the first template with which it shares enough tokens."""
 
     def __init__(self, least: float):
-        self.least, self.templates = least, []
+        self.least, self.templates, self.documents = least, [], []
 
     def match(self, tokens: list[str]) -> int | None:
         """The template nearest to the tokens, slots counting half; None if none is near enough."""
@@ -46,11 +46,14 @@ class Leaf:
                     break
         return at if best >= self.least else None
 
-    def add(self, tokens: list[str]) -> None:
+    def add(self, tokens: list[str], documents: int = 0) -> None:
+        """Takes a line or another tree's template, and the documents it covers."""
         at = self.match(tokens)
         if at is None:
             self.templates.append(list(tokens))
+            self.documents.append(documents)
         else:
+            self.documents[at] += documents
             t = self.templates[at]
             for i, y in enumerate(tokens):
                 if t[i] != y:
@@ -86,47 +89,44 @@ def line_templates(lines: DataFrame, min_documents: int, depth: int = 3, least:
         rows = []
         for (s, n), docs in seen.items():
             p = path(n)
-            leaves.setdefault((s, p), Leaf(least)).add(n.split(" "))
+            leaves.setdefault((s, p), Leaf(least)).add(n.split(" "), len(docs))
             rows.append((s, p, 1, n, len(docs)))
             if len(rows) >= 20_000:
                 yield records(rows, ["source", "path", "kind", "norm", "docs"])
                 rows = []
-        rows.extend((s, p, 0, " ".join(t), 0) for (s, p), leaf in leaves.items() for t in leaf.templates)
+        rows.extend((s, p, 0, " ".join(t), d) for (s, p), leaf in leaves.items() for t, d in zip(leaf.templates, leaf.documents))
         yield records(rows, ["source", "path", "kind", "norm", "docs"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by source, path, kind and line: a path's templates are merged before its lines are matched."""
-        at, leaf, lines_, docs = None, Leaf(least), [], []
-
-        def close() -> pd.DataFrame | None:
-            if at is None or not lines_:
-                return None
-            ids = [leaf.match(n.split(" ")) for n in lines_]
-            total: dict[int | None, int] = {}
-            for i, d in zip(ids, docs):
-                total[i] = total.get(i, 0) + d
-            keep = [(at[0], n, " ".join(leaf.templates[i]), d, total[i]) for n, d, i in zip(lines_, docs, ids) if i is not None and total[i] >= min_documents]
-            return records(keep, ["source", "norm", "template", "line_documents", "template_documents"]) if keep else None
+        """Rows come sorted by source, path, kind and line: a path's templates are merged first, with their documents, then its lines pass by one at a time."""
+        at, leaf, line, docs = None, Leaf(least), None, 0
+        names = ["source", "norm", "template", "line_documents", "template_documents"]
+
+        def close() -> list[tuple]:
+            if line is None:
+                return []
+            i = leaf.match(line.split(" "))
+            if i is None or max(docs, leaf.documents[i]) < min_documents:
+                return []
+            return [(at[0], line, " ".join(leaf.templates[i]), docs, max(docs, leaf.documents[i]))]
 
         for b in batches:
             out = []
             for s, p, k, n, d in zip(b["source"], b["path"], b["kind"], b["norm"], b["docs"]):
                 if (s, p) != at:
-                    out.append(close())
-                    at, leaf, lines_, docs = (s, p), Leaf(least), [], []
+                    out += close()
+                    at, leaf, line, docs = (s, p), Leaf(least), None, 0
                 if k == 0:
-                    leaf.add(n.split(" "))
-                elif lines_ and lines_[-1] == n:
-                    docs[-1] += d
+                    leaf.add(n.split(" "), d)
+                elif n == line:
+                    docs += d
                 else:
-                    lines_.append(n)
-                    docs.append(d)
-            out = [x for x in out if x is not None]
+                    out += close()
+                    line, docs = n, d
             if out:
-                yield pd.concat(out)
-        last = close()
-        if last is not None:
-            yield last
+                yield records(out, names)
+        if out := close():
+            yield records(out, names)
 
     trees = lines.select("source", "norm", "document_id").mapInPandas(grow, "source string, path string, kind int, norm string, docs long")
     parts = shuffle_partitions(lines.sparkSession)

@@ -298,8 +298,8 @@ def _group_pairs(sig: DataFrame, sketch: np.ndarray, t: float, block: int) -> Da
     blocks = hot.groupBy("token").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     # the rank within a token comes from the counts of its sizes, not from a window over the whole token
     by_size = hot.groupBy("token", "n").agg(F.count("*").alias("c"))
-    before = by_size.withColumn("before", F.sum("c").over(W.partitionBy("token").orderBy("n")) - F.col("c")).drop("c")
-    ranked = hot.join(before, ["token", "n"]).join(blocks, "token").withColumn("blk", F.least(F.col("blocks") - 1, F.floor((F.col("before") + F.pmod(F.xxhash64("group_id"), F.lit(block))) / block).cast("long")))
+    before = by_size.withColumn("before", F.sum("c").over(W.partitionBy("token").orderBy("n")) - F.col("c"))
+    ranked = hot.join(before, ["token", "n"]).join(blocks, "token").withColumn("blk", F.least(F.col("blocks") - 1, F.floor((F.col("before") + F.pmod(F.xxhash64("group_id"), F.col("c"))) / block).cast("long")))
     # a row of block i goes to cell (i, j) for each j: as side 1 or 2 to meet another block, as side 0 to meet its own
     met = ranked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "token", "group_id", "n", "pos",
