@@ -155,3 +155,21 @@ def test_components(spark):
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10} | {i: 100 for i in range(100, 141)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pages_by_day_as_stream_and_table(spark, tmp_path):
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+    spark.sql("SELECT * FROM VALUES (timestamp'2024-01-01 10:00:00', 'ocr'), (timestamp'2024-01-01 11:00:00', 'ocr'), (timestamp'2024-01-09 11:00:00', 'native') AS t(loaded_at, extraction_method)").write.parquet(source)
+    df = spark.read.parquet(source)
+    want = {(str(r["day"]), r["extraction_method"], r["pages"]) for r in ingest.pages_by_day(df).collect()}
+    assert want == {("2024-01-01 00:00:00", "ocr", 2), ("2024-01-09 00:00:00", "native", 1)}
+    query = ingest.pages_by_day(spark.readStream.schema(df.schema).parquet(source)).writeStream.format("memory").queryName("days").outputMode("complete").option("checkpointLocation", check).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {(str(r["day"]), r["extraction_method"], r["pages"]) for r in spark.table("days").collect()} == want
+
+
+def test_entry_lists_every_query_with_its_sql():
+    import __spark_entry__ as entry
+
+    names, sql = entry.queries(), entry.oracle_sql()
+    assert sql.keys() <= names.keys() and all(callable(q) for q in names.values()) and "hybrid_search" in names
