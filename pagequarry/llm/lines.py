@@ -4,7 +4,7 @@ Method: lines are parsed into templates by fixed-depth token trees. A tree's pat
 number of tokens and the first tokens (tokens with digits are wildcards); its leaf holds templates, whose differing
 tokens become wildcard slots. Each partition grows trees of its own documents; trees are merged
 path by path across partitions, and each line is matched to the merged templates of its path. Templates that cover many documents give
-the candidates; an exact count of documents by line follows.
+the candidates. The documents of a line are counted apart from the trees, as a distinct count over all partitions.
 
 Two lines are the same if they are equal without leading and trailing spaces, with single spaces, in lower case and with one sign for each run
 of digits. Defined results: null texts and sources have no lines; repeated deliveries of a row count once;
@@ -72,7 +72,7 @@ def page_lines(pages: DataFrame, documents: DataFrame, min_letters: int) -> Data
 def line_templates(lines: DataFrame, min_documents: int, depth: int = 3, least: float = 0.7) -> DataFrame:
     """(source, norm, template, line_documents, template_documents) of the lines whose template covers enough documents.
 
-    ``lines`` must be partitioned by document, as ``page_lines`` leaves them, so that documents counted by partition add up.
+    ``line_documents`` is exact however ``lines`` are partitioned. ``template_documents`` adds up lines and partitions: it is never too small.
     """
 
     def path(norm: str) -> str:
@@ -80,22 +80,21 @@ def line_templates(lines: DataFrame, min_documents: int, depth: int = 3, least:
         return " ".join([str(len(tokens)), *(SLOT if "0" in x else x for x in tokens[:depth])])
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One partition's trees, and its distinct lines with their documents."""
+        """One partition's trees."""
         seen: dict[tuple[str, str], set[int]] = {}
         for b in batches:
             for s, n, d in zip(b["source"], b["norm"], b["document_id"]):
                 seen.setdefault((s, n), set()).add(d)
         leaves: dict[tuple[str, str], Leaf] = {}
-        rows = []
         for (s, n), docs in seen.items():
-            p = path(n)
-            leaves.setdefault((s, p), Leaf(least)).add(n.split(" "), len(docs))
-            rows.append((s, p, 1, n, len(docs)))
-            if len(rows) >= 20_000:
-                yield records(rows, ["source", "path", "kind", "norm", "docs"])
-                rows = []
-        rows.extend((s, p, 0, " ".join(t), d) for (s, p), leaf in leaves.items() for t, d in zip(leaf.templates, leaf.documents))
-        yield records(rows, ["source", "path", "kind", "norm", "docs"])
+            leaves.setdefault((s, path(n)), Leaf(least)).add(n.split(" "), len(docs))
+        rows = [(s, p, 0, " ".join(t), d) for (s, p), leaf in leaves.items() for t, d in zip(leaf.templates, leaf.documents)]
+        for lo in range(0, len(rows), 20_000):
+            yield records(rows[lo : lo + 20_000], ["source", "path", "kind", "norm", "docs"])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(path=[path(n) for n in b["norm"]], kind=1)[["source", "path", "kind", "norm", "docs"]]
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by source, path, kind and line: a path's templates are merged first, with their documents, then its lines pass by one at a time."""
@@ -118,8 +117,6 @@ def line_templates(lines: DataFrame, min_documents: int, depth: int = 3, least:
                     at, leaf, line, docs = (s, p), Leaf(least), None, 0
                 if k == 0:
                     leaf.add(n.split(" "), d)
-                elif n == line:
-                    docs += d
                 else:
                     out += close()
                     line, docs = n, d
@@ -128,7 +125,10 @@ def line_templates(lines: DataFrame, min_documents: int, depth: int = 3, least:
         if out := close():
             yield records(out, names)
 
-    trees = lines.select("source", "norm", "document_id").mapInPandas(grow, "source string, path string, kind int, norm string, docs long")
+    schema = "source string, path string, kind int, norm string, docs long"
+    rows = lines.select("source", "norm", "document_id")
+    counts = rows.distinct().groupBy("source", "norm").agg(F.count("*").alias("docs"))  # both steps add up in the tasks first: a hot document is one row a line
+    trees = rows.mapInPandas(grow, schema).unionByName(counts.mapInPandas(place, schema))
     parts = shuffle_partitions(lines.sparkSession)
     ordered = trees.repartition(parts, "source", "path").sortWithinPartitions("source", "path", "kind", "norm")
     return ordered.mapInPandas(merge, "source string, norm string, template string, line_documents long, template_documents long")

@@ -31,6 +31,19 @@ def test_repeated_lines(spark):
     assert lines.repeated_lines(pages, documents, min_documents=9).count() == 0
 
 
+def test_documents_are_counted_once_over_all_partitions(spark, tmp_path):
+    """A document of many pages in many partitions is one document of its lines; a small documents file is broadcast, so pages stay where they are."""
+    line = "please keep this sheet for later use"
+    pages = spark.createDataFrame([(i, i % 5 if i < 60 else 1, 1, line if i < 60 else line.replace("later", "other"), "native") for i in range(120)], PAGES).repartition(16, "page_id")
+    spark.createDataFrame([(i, "one") for i in range(6)], "doc_id long, source string").write.parquet(str(tmp_path / "documents"))
+    documents = spark.read.parquet(str(tmp_path / "documents"))
+    assert lines.repeated_lines(pages, documents).count() == 0
+    more = pages.unionByName(spark.createDataFrame([(200, 5, 1, line, "native")], PAGES))
+    assert {r["page_id"] for r in lines.repeated_lines(more, documents).collect()} == {*range(60), 200}
+    counted = lines.line_templates(lines.page_lines(more, documents, 20), 6)
+    assert {r["norm"]: r["line_documents"] for r in counted.collect()}[line] == 6
+
+
 def test_templates_have_slots():
     leaf = lines.Leaf(0.6)
     for x in ("copy 0 of the sheet", "copy 0 of that sheet", "other words are not here"):
