@@ -4,7 +4,8 @@ Method: lines are parsed into templates by fixed-depth token trees. A tree's pat
 number of tokens and the first tokens (tokens with digits are wildcards); its leaf holds templates, whose differing
 tokens become wildcard slots. Each partition grows trees of its own documents; trees are merged
 path by path across partitions, and each line is matched to the merged templates of its path. Templates that cover many documents give
-the candidates. The documents of a line are counted apart from the trees, as a distinct count over all partitions.
+the candidates. The documents of a line are counted apart from the trees, as a distinct count over all partitions; a line
+that has enough of them is a candidate whether or not a merged template still matches it, and then is its own template.
 
 Two lines are the same if they are equal without leading and trailing spaces, with single spaces, in lower case and with one sign for each run
 of digits. Defined results: null texts and sources have no lines; repeated deliveries of a row count once;
@@ -105,9 +106,8 @@ def line_templates(lines: DataFrame, min_documents: int, depth: int = 3, least:
             if line is None:
                 return []
             i = leaf.match(line.split(" "))
-            if i is None or max(docs, leaf.documents[i]) < min_documents:
-                return []
-            return [(at[0], line, " ".join(leaf.templates[i]), docs, max(docs, leaf.documents[i]))]
+            template, covered = (line, docs) if i is None else (" ".join(leaf.templates[i]), max(docs, leaf.documents[i]))  # merged trees may leave a line without a template
+            return [(at[0], line, template, docs, covered)] if covered >= min_documents else []
 
         for b in batches:
             out = []

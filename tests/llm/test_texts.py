@@ -44,6 +44,23 @@ def test_documents_are_counted_once_over_all_partitions(spark, tmp_path):
     assert {r["norm"]: r["line_documents"] for r in counted.collect()}[line] == 6
 
 
+def test_lines_that_no_merged_template_matches_are_counted(spark):
+    """The trees of two partitions merge to a template with so many slots that a member's match is too weak."""
+
+    def part(first, words, page):
+        fixed = f"alpha beta gamma {words}"
+        vary = [f"{fixed} one two three four five", f"{fixed} six seven eight four five", f"{fixed} one two three nine five", f"{fixed} one two three four ten"]
+        rows = [(page + i, page + i, 1, x, "native") for i, x in enumerate([vary[0]] * first + vary[1:])]
+        return spark.createDataFrame(rows, PAGES).coalesce(1)
+
+    pages = part(6, "delta epsilon", 0).union(part(1, "omega sigma", 100))
+    rows = pages.select(F.lit("one").alias("source"), F.col("text").alias("norm"), "document_id")
+    line = "alpha beta gamma delta epsilon one two three four five"
+    got = {r["norm"]: (r["line_documents"], r["template"]) for r in lines.line_templates(rows, 6).collect()}
+    assert got[line] == (6, line)
+    assert not any(n.startswith("alpha beta gamma omega") for n in got)
+
+
 def test_templates_have_slots():
     leaf = lines.Leaf(0.6)
     for x in ("copy 0 of the sheet", "copy 0 of that sheet", "other words are not here"):
