@@ -3,7 +3,7 @@
 Method: vantage-point trees per shard. A bounded sample of vectors serves as vantage points of the first
 level; the vectors nearest to one form its shard. A shard is held as vantage-point trees of bounded size.
 For unit vectors a cosine of at least c is a Euclidean distance of at most r = sqrt(2 - 2 c), so a shard or subtree
-can only hold such neighbours of q if the triangle inequality allows it; the bound 2 r (shards) or r (subtrees) is relaxed by ``factor``: 1 restores exact search,
+can only hold such neighbours of q if the triangle inequality allows it; the bound 2 r (shards) or r (subtrees) is relaxed by ``factor`` (shards) and ``tree_factor`` (subtrees): ``factor`` 1 alone restores exact search,
 smaller values look into fewer shards. A pair that is met from either side counts for both vectors. A vector's copies
 for other shards than its own travel as half floats (``compact``; similarities then err by under 0.001).
 
@@ -93,8 +93,13 @@ def vantage_points(units: DataFrame, n: int, most: int) -> np.ndarray:
     return np.stack([np.frombuffer(r["unit"], np.float32) for r in got])
 
 
-def similar_vectors(vectors: DataFrame, key: str = "embedding_id", vector: str = "embedding", k: int = 5, min_similarity: float = 0.8, factor: float = 0.08, tree_factor: float = 0.3, dim: int = 64, most_vantage: int = 8_192, shard_rows: int = 20_000, compact: bool = True) -> DataFrame:
-    """(id, neighbour, similarity): for each usable vector its at most k most similar others of at least ``min_similarity``."""
+def similar_vectors(vectors: DataFrame, key: str = "embedding_id", vector: str = "embedding", k: int = 5, min_similarity: float = 0.8, factor: float = 0.1, tree_factor: float | None = None, dim: int = 64, most_vantage: int = 8_192, shard_rows: int = 20_000, compact: bool | None = None) -> DataFrame:
+    """(id, neighbour, similarity): for each usable vector its at most k most similar others of at least ``min_similarity``.
+
+    ``tree_factor`` (0.3) and ``compact`` (true) follow ``factor`` where they are not given: at 1 they are 1 and false, so that the search is exact.
+    """
+    tree_factor = (1.0 if factor >= 1 else 0.3) if tree_factor is None else tree_factor
+    compact = factor < 1 if compact is None else compact
     spark = vectors.sparkSession
     per_id = cut(_collapse(usable(vectors, key, vector, dim), k))
     reps = per_id.groupBy("unit").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))

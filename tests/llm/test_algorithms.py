@@ -41,6 +41,19 @@ def test_factor_one_is_exact(spark, shard_rows):
     assert all(len(got[i]) == len(want[i]) and np.allclose(sorted(got[i]), sorted(want[i]), atol=1e-4) for i in want)
 
 
+@pytest.mark.parametrize("most_vantage", [1, 8_192])
+def test_factor_one_alone_is_exact(spark, most_vantage):
+    """One shard of several subtrees, and many shards with copies between them."""
+    rows = clustered(600)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "embedding_id long, embedding array<float>")
+    got = {}
+    for r in vectors.similar_vectors(df, dim=8, factor=1.0, most_vantage=most_vantage).collect():
+        got.setdefault(r["id"], []).append(r["similarity"])
+    want = {i: [v for _, v in w] for i, w in brute_neighbours(rows, 5, 0.8).items() if w}
+    assert got.keys() == want.keys()
+    assert all(len(got[i]) == len(want[i]) and np.allclose(sorted(got[i]), sorted(want[i]), atol=3e-5) for i in want)
+
+
 def test_relaxed_search_finds_nine_of_ten(spark):
     rows = clustered(600, 16, 5)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "embedding_id long, embedding array<float>")
