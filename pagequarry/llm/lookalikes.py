@@ -33,8 +33,6 @@ MARKS = "’' ‘' ʼ' ′' `' ´' ‐- ‑- −- ﹣-"
 TO_LATIN = {p[0]: p[1] for p in f"{CYRILLIC} {GREEK}".split()}
 TO_CYRILLIC = {p[1]: p[0] for p in CYRILLIC.split()}
 _MARKS = {ord(p[0]): p[1] for p in MARKS.split()}
-#: what a page must contain for its tokens to need more than a change of case
-SUSPICIOUS = r"[\u00a0\u00ad\u0300-\u036f\u0370-\u052f\u1680\u180e\u2000-\u2011\u2018\u2019\u2028-\u202f\u205f-\u206f\u2212\u3000\ufb00-\ufb06\ufe00-\ufe0f\ufe63\ufeff\uff00-\uffef]"
 #: the same white space for Python and for Spark
 SPACES = r"[\u0009-\u000d\u001c- \u0085\u00a0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _SPACE = re.compile(SPACES)
@@ -45,6 +43,25 @@ def _ignorable(c: str) -> bool:
     return unicodedata.category(c) == "Cf" or c in "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0" or "\ufe00" <= c <= "\ufe0f"
 
 
+def _suspicious() -> str:
+    """A pattern of one character, the same for Python and for Spark: scripts with look-alikes, combining marks, white space, and all that the table changes."""
+    old = "\u00a0\u0300-\u052f\u1680\u180e\u2000-\u2011\u2018\u2019\u2028-\u202f\u205f-\u206f\u2212\u3000\ufe00-\ufe0f\ufeff\uff00-\uffef"
+    known = re.compile(f"[{old}]")
+    more = {chr(x) for x in _MARKS} | {c for c in map(chr, (*range(0x80, 0x20000), *range(0xE0000, 0xE1000))) if _ignorable(c) or unicodedata.decomposition(c).startswith("<")}
+    runs: list[list[int]] = []
+    for x in sorted(ord(c) for c in more | set(TO_LATIN) if not known.match(c)):
+        if runs and x == runs[-1][1] + 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    plain = "(?=[^\\x00-_a-\\x7f])"  # turns ASCII but for the grave accent away before the many ranges are tried
+    return plain + f"[{old}{''.join(chr(a) if a == b else f'{chr(a)}-{chr(b)}' for a, b in runs)}]"
+
+
+#: what a page must contain for its tokens to need more than a change of case
+SUSPICIOUS = _suspicious()
+
+
 def bare(token: str) -> str:
     """The token decomposed, without ignorables and with plain quotes and hyphens."""
     return unicodedata.normalize("NFKD", "".join(c for c in token if not _ignorable(c)).translate(_MARKS))
@@ -201,7 +218,7 @@ def canonical_text(pages: DataFrame, key: str = "page_id", text: str = "text", e
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield objects({"key": b["key"], "canonical": [None if x is None else " ".join(unicodedata.normalize("NFKC", x.casefold()).split()) for x in b["text"]]})
+            yield objects({"key": b["key"], "canonical": [None if x is None else " ".join(_close(x).split()) for x in b["text"]]})
 
     schema = f"key {kind}, canonical string"
     slow = rows.filter(odd).join(maps, "key", "left").mapInPandas(rewrite, schema)

@@ -260,3 +260,13 @@ def test_viterbi_keeps_to_one_channel():
 def test_word_counts(spark):
     df = spark.createDataFrame([("“One, two” two", "x"), (None, None), ("", "two")], "a string, b string")
     assert dict(words.count_words(df, "a", "b").collect()) == {"One": 1, "two": 3, "x": 1}
+
+
+def test_all_that_the_table_changes_takes_the_slow_path(spark):
+    """Each page has one such character and no other that would send it there."""
+    marks = ["Piece d\u02bcarret", "Piece d\u00b4arret", "Piece d`arret", "Piece d\u2032arret", "Pi\u3164ece d'arret", "Piece\u061c d'arret", "Pie\u115fce d'arret", "Piece d'ar\U000e0041ret", "\U0001d40fiece d'arret"]
+    rows = [*marks, "piece d'arret", "piece darret", "set to 5 \u00b5A", None]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, text string")
+    terms = spark.createDataFrame([(1, "Piece d'arret"), (2, "5 \u00b5A")], "term_id long, term string")
+    got = {tuple(r) for r in lookalikes.find_terms(pages, terms).collect()}
+    assert got == {(1, i) for i in range(len(marks) + 1)} | {(2, len(marks) + 2)}
