@@ -7,6 +7,7 @@ import tempfile
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
@@ -28,6 +29,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions for ``rows`` of which a task takes about ``each``: they grow with the data, but are no fewer than the session's shuffle partitions."""
+    return max(shuffle_partitions(spark), -(-rows // each))
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``df`` (a checkpoint or another cheap plan of narrow rows), marked for broadcast only if it has at most ``most_rows``; else Spark shuffles it."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Hands this package to the executors, once for each Spark context; they need no copy of their own."""
     sc = spark.sparkContext
