@@ -1,18 +1,20 @@
 """Problem 5: pages that differ by small edits, as a set-similarity join.
 
 Method: grouped prefix join. A page is its set of word shingles, as 64-bit hashes. All shingles are
-ordered by an estimate of their frequency (a count sketch of fixed width), rare ones first; two sets of Jaccard similarity t share a
-shingle within their first ``n - ceil(t n) + 1``. Pages of equal prefix and size collapse into one
-group; only groups meet, by prefix shingle, under length and position filters; group pairs are then
-expanded to pairs of distinct sets, of which 256-bit parities bound the overlap, and those left over are verified exactly. No candidate is dropped: a hot prefix
-shingle is divided into blocks that meet pairwise in separate tasks.
-
-Defined results: null and short texts (under ``min_words``) have no partner; exact copies are linked
-to the smallest id of their copies, see ``similar_pairs``; rows delivered twice count once.
+ordered by an estimate of their frequency (a count sketch), rare ones first; of two sets of Jaccard similarity t that
+have ``common`` shingles in common or more, as many lie within the first ``n - ceil(t n) + common`` of each. Pages of equal prefix and
+size collapse into one group, which goes by its smallest page id; only groups meet, by prefix shingle, under length and position filters. Pairs that met
+by too few shingles are left out, the others are expanded to pairs of distinct sets and verified exactly, on shingles that a second pass over the
+pages makes for these sets alone. No candidate is dropped: a hot prefix shingle is divided into blocks that meet pairwise in
+separate tasks. Joins by group or set are plain ones, whose hot keys adaptive execution divides.
+
+Defined results: null and short texts (under ``min_words``) have no partner; exact copies form one set, which goes by the smallest
+id of its pages and is expanded in ``near_duplicate_pages`` only; rows delivered twice count once; null ids are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.frames import objects
-from pagequarry.session import cut, shuffle_partitions
-
-SKETCH_BITS = 24
-BLOOM_BITS = 24
-TABLE_BLOCKS = 256
-BITS = ("b0", "b1", "b2", "b3")
+from pagequarry.llm import tables
+from pagequarry.session import broadcast_if_small, cut, partitions_for
 
+SKETCH_BITS = range(12, 25)
+BLOOM_BITS = range(12, 29)
+TOKEN = 6  # bytes of a shingle's hash that the prefixes keep: more candidates at worst, never fewer
 
 class Shingler:
     """Hashes of the sets of ``k`` consecutive lower-cased words; word hashes are kept per worker."""
@@ -62,120 +63,124 @@ class Shingler:
         return len(words), np.unique(s)
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def _fixed_table(parts: DataFrame, size: int, kind: type, combine) -> np.ndarray:
-    """One table of ``size`` numbers from (block, part) rows of all tasks, combined block by block; its size is the same for every corpus."""
+def _bits(n: float, allowed: range) -> int:
+    """The binary logarithm of a table for ``n`` entries, within bounds; beyond them its entries are shared by more and more."""
+    return max(allowed.start, min(allowed.stop - 1, math.ceil(math.log2(max(2.0, n)))))
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = combine([np.frombuffer(x, kind) for x in pdf["part"]])
-        return objects({"block": [pdf["block"].iloc[0]], "part": [total.astype(kind).tobytes()]})
 
-    out = np.zeros(size, kind)
-    width = size // TABLE_BLOCKS
-    for r in parts.groupBy("block").applyInPandas(add, "block int, part binary").collect():
-        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["part"], kind)
-    return out
+def _bucket(s: np.ndarray, size: int) -> np.ndarray:
+    """By the upper bits, which prefixes keep too."""
+    return (s >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def _blocks(table: np.ndarray) -> pd.DataFrame:
-    width = len(table) // TABLE_BLOCKS
-    return objects({"block": range(TABLE_BLOCKS), "part": [table[i * width : (i + 1) * width].tobytes() for i in range(TABLE_BLOCKS)]})
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a.astype(np.int64) + b, 2**32 - 1).astype(np.uint32)
 
 
-def shingle_sketch(pages: DataFrame, text: str, k: int, min_words: int) -> np.ndarray:
-    """Pages per sketch bucket, up to 65,535; 2**SKETCH_BITS numbers, computed over all pages. Each task adds up its own pages first."""
+def shingle_sketch(pages: DataFrame, text: str, k: int, min_words: int, bits: int | None = None) -> tables.Shared:
+    """Pages per sketch bucket, over all pages; the table's size follows the length of the texts. Each task adds up its own pages first."""
+    if bits is None:
+        chars = pages.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        bits = _bits(chars / 16, SKETCH_BITS)
+    size = 2**bits
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, total = Shingler(k), np.zeros(2**SKETCH_BITS, np.int32)
+        shingle, total = Shingler(k), np.zeros(size, np.uint32)
         for b in batches:
             found = []
             for t in b["text"]:
                 if t is not None:
                     n, s = shingle(t)
                     if n >= min_words:
-                        found.append(_bucket(s))
+                        found.append(_bucket(s, size))
             if found:
                 np.add.at(total, np.concatenate(found), 1)
-        yield _blocks(np.minimum(total, 65_535).astype(np.uint16))
+        yield tables.parts_of(total)
 
-    parts = pages.select(F.col(text).alias("text")).mapInPandas(run, "block int, part binary")
-    return _fixed_table(parts, 2**SKETCH_BITS, np.uint16, lambda xs: np.minimum(sum(x.astype(np.int64) for x in xs), 65_535))
+    parts = pages.select(F.col(text).alias("text")).mapInPandas(run, tables.PART)
+    return tables.Shared(pages.sparkSession, tables.added_up(parts, np.uint32, _sum), size, np.uint32)
 
 
-def _bloom_at(ids: np.ndarray) -> np.ndarray:
-    """Three bits of each id, as positions; ids are hashes already."""
+def _bloom_at(ids: np.ndarray, size: int) -> np.ndarray:
+    """Three bits of each id, as positions."""
     u = ids.astype(np.int64).view(np.uint64)
-    mask = np.uint64(2**BLOOM_BITS - 1)
-    return np.stack([(u >> np.uint64(x)) & mask for x in (0, 20, 40)]).astype(np.int64)
+    out = []
+    with np.errstate(over="ignore"):
+        for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
+            x = (u ^ (u >> np.uint64(31))) * np.uint64(m)
+            out.append(_bucket(x ^ (x >> np.uint64(29)) * np.uint64(m), size))
+    return np.stack(out)
 
 
-def _keep_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose set_id may be among ``wanted``: a Bloom filter of 2 MB spares all others the shuffle; the join after it is exact."""
+def _keep_wanted(rows: DataFrame, key: str, wanted: DataFrame, n: int) -> DataFrame:
+    """The rows whose ``key`` may be among the ``n`` ids ``wanted``: a Bloom filter spares the others what follows; the join after it is exact."""
+    size = 2 ** _bits(12.0 * n, BLOOM_BITS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(2**BLOOM_BITS, bool)
+        bits = np.zeros(size, bool)
         for b in batches:
-            bits[_bloom_at(b["set_id"].to_numpy()).ravel()] = True
-        yield _blocks(np.packbits(bits))
+            bits[_bloom_at(b.iloc[:, 0].to_numpy(), size).ravel()] = True
+        yield tables.parts_of(np.packbits(bits))
 
-    table = _fixed_table(wanted.mapInPandas(run, "block int, part binary"), 2**BLOOM_BITS // 8, np.uint8, np.bitwise_or.reduce)
-    shared = rows.sparkSession.sparkContext.broadcast(table)  # of fixed size
+    table = tables.added_up(wanted.mapInPandas(run, tables.PART), np.uint8, np.bitwise_or)
+    shared = tables.Shared(rows.sparkSession, table, size // 8, np.uint8)
 
     @F.pandas_udf(T.BooleanType())
     def known(ids: pd.Series) -> pd.Series:
-        at = _bloom_at(ids.to_numpy())
-        return pd.Series(((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0))
+        at = _bloom_at(ids.to_numpy(), size)
+        return pd.Series(((shared.table()[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0))
 
-    return rows.filter(known("set_id"))
+    return rows.filter(known(key))
 
 
-def parity(s: np.ndarray) -> list[int]:
-    """256 bits, each the parity of the shingles that fall on it; two sets differ in at least as many shingles as bits."""
-    odd = np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def prefix_length(n: np.ndarray | int, t: float, common: int = 1):
+    """How many of a set's first shingles must hold ``common`` shared ones with any set of similarity ``t``, or all shared ones if these are fewer."""
+    least = np.ceil(t * n - 1e-9).astype(np.int64)
+    return n - least + np.minimum(common, least)
 
 
-def prefix_length(n: np.ndarray | int, t: float):
-    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+def shared_least(na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
+    """Shingles that sets of these sizes share at least if their similarity is ``t``."""
+    return np.ceil(t / (1 + t) * (na + nb) - 1e-9).astype(np.int64)
 
 
-def signatures(pages: DataFrame, key: str, text: str, k: int, t: float, min_words: int, sketch: np.ndarray) -> DataFrame:
-    """(id, set_id, group_id, n, ordered): ordered has the whole set as bytes, rare shingles first."""
-    shared = pages.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
+def signatures(pages: DataFrame, key: str, text: str, k: int, t: float, min_words: int, common: int, sketch: tables.Shared) -> DataFrame:
+    """(id, set_hash, group_hash, n, prefix): prefix has the rarest shingles as bytes, TOKEN of each, in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, counts = Shingler(k), shared.value
+        shingle, counts = Shingler(k), sketch.table()
         for b in batches:
-            ids, sets, groups, sizes, rows, bits = [], [], [], [], [], []
+            ids, sets, groups, sizes, rows = [], [], [], [], []
             for i, x in zip(b["id"], b["text"]):
-                if x is None:
-                    continue
                 words, s = shingle(x)
                 if words < min_words or not len(s):
                     continue
-                s = s[np.lexsort((s, counts[_bucket(s)]))]
-                p = int(prefix_length(np.int64(len(s)), t))
+                s = s[np.lexsort((s, counts[_bucket(s, sketch.size)]))]
+                p = int(prefix_length(np.int64(len(s)), t, common))
                 raw = s.tobytes()
                 ids.append(i)
                 sets.append(xxhash.xxh3_64_intdigest(raw) - 2**63)
                 groups.append(xxhash.xxh3_64_intdigest(raw[: 8 * p] + len(s).to_bytes(8, "little"), seed=1) - 2**63)
                 sizes.append(len(s))
-                rows.append(raw)
-                bits.append(parity(s))
-            yield objects({"id": ids, "set_id": np.array(sets, np.int64), "group_id": np.array(groups, np.int64), "n": np.array(sizes, np.int32), "ordered": rows} | {f"b{i}": [x[i] for x in bits] for i in range(4)})
+                rows.append(s[:p].view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN :].tobytes())
+            yield objects({"id": ids, "set_hash": np.array(sets, np.int64), "group_hash": np.array(groups, np.int64), "n": np.array(sizes, np.int32), "prefix": rows})
 
     rows = pages.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "id long, set_id long, group_id long, n int, ordered binary, b0 long, b1 long, b2 long, b3 long")
+    return rows.mapInPandas(run, "id long, set_hash long, group_hash long, n int, prefix binary")
+
+
+def _tokens(prefixes: pd.Series) -> np.ndarray:
+    raw = np.frombuffer(b"".join(prefixes), np.uint8).reshape(-1, TOKEN)
+    whole = np.zeros((len(raw), 8), np.uint8)
+    whole[:, 8 - TOKEN :] = raw
+    return whole.view(np.uint64).ravel()
 
 
-def _meet(pdf_iter: Iterator[pd.DataFrame], t: float) -> Iterator[pd.DataFrame]:
-    """Pairs of groups that share a prefix shingle. Rows come sorted by token and n; a token may run over several batches.
+def _meet(pdf_iter: Iterator[pd.DataFrame], t: float, common: int) -> Iterator[pd.DataFrame]:
+    """Pairs of groups that share prefix shingles. Rows come sorted by token, cell and size; a token may run over several batches.
 
-    ``left`` and ``right`` say in which role a row meets the others of its block pair: rows of one block meet
-    each other once, rows of two blocks meet across.
+    ``side`` says in which role a row meets the others of its block pair: rows of one block (0) meet
+    each other once, rows of two blocks (1 and 2) meet across.
     """
     rest = None
     for pdf in pdf_iter:
@@ -187,14 +192,15 @@ def _meet(pdf_iter: Iterator[pd.DataFrame], t: float) -> Iterator[pd.DataFrame]:
         at = int(cutat[-1]) + 1 if len(cutat) else 0
         rest = pdf.iloc[at:]
         if at:
-            yield from _pairs(pdf.iloc[:at], t)
+            yield from _pairs(pdf.iloc[:at], t, common)
     if rest is not None and len(rest):
-        yield from _pairs(rest, t)
+        yield from _pairs(rest, t, common)
 
 
-def _pairs(pdf: pd.DataFrame, t: float, step: int = 2_000_000) -> Iterator[pd.DataFrame]:
-    tok, cell = pdf["token"].to_numpy(), pdf["cell"].to_numpy()
-    g, n, pos, side = pdf["group_id"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["pos"].to_numpy(np.int64), pdf["side"].to_numpy()
+def _pairs(pdf: pd.DataFrame, t: float, common: int, step: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """(ga, gb, c, least): c shingles by which two groups met here, and how many they need in all."""
+    tok, cell, g, side = (pdf[x].to_numpy() for x in ("token", "cell", "gid", "side"))
+    n, pos = pdf["place"].to_numpy() >> 32, pdf["place"].to_numpy() & 0xFFFFFFFF
     start = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (cell[1:] != cell[:-1])])
     end = np.r_[start[1:], len(tok)]
     # each row meets the later rows of its run whose size is at most its own over t (rows are sorted by size)
@@ -215,105 +221,124 @@ def _pairs(pdf: pd.DataFrame, t: float, step: int = 2_000_000) -> Iterator[pd.Da
         m = many[rows]
         a = np.repeat(rows, m)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
-        # a similar pair's first common shingle leaves room for all the overlap that t asks for, itself included
-        need = np.ceil(t / (1 + t) * (n[a] + n[b]) - 1e-9)
-        ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need) & (g[a] != g[b]) & ((side[a] == 0) | (side[b] == 0) | (side[a] != side[b]))
-        a, b = a[ok], b[ok]
+        # the first ``wanted`` shared shingles of a similar pair leave room for all that t asks for after them
+        need = shared_least(n[a], n[b], t)
+        wanted = np.minimum(common, need)
+        ok = (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= need - wanted + 1) & (g[a] != g[b]) & ((side[a] == 0) | (side[b] == 0) | (side[a] != side[b]))
+        a, b, wanted = a[ok], b[ok], wanted[ok]
         if len(a):
             x, y = np.minimum(g[a], g[b]), np.maximum(g[a], g[b])
-            yield pd.DataFrame({"ga": x, "gb": y}).drop_duplicates()
+            order = np.lexsort((y, x))
+            x, y, wanted = x[order], y[order], wanted[order]
+            first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            yield pd.DataFrame({"ga": x[first], "gb": y[first], "c": np.diff(np.r_[first, len(x)]), "least": wanted[first]})
         lo = hi
 
 
-def similar_pairs(pages: DataFrame, key: str = "page_id", text: str = "text", k: int = 5, t: float = 0.8, min_words: int = 1, block: int = 2_000) -> tuple[DataFrame, DataFrame]:
-    """(pairs of different sets, members of each set).
+def similar_pairs(pages: DataFrame, key: str = "page_id", text: str = "text", k: int = 5, t: float = 0.8, min_words: int = 1, block: int = 2_000, common: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(pairs of different sets, copies).
 
-    pairs: set_a, set_b, similarity, set_a < set_b, each at least ``t``. members: set_id, id. Pages with
-    one and the same shingle set are members of one set id and of similarity 1 to each other.
+    pairs: set_a, set_b, similarity, set_a < set_b, each at least ``t``. copies: set_id, id of every set that several pages have. A set's id is
+    the smallest id of its pages; pages of one set are of similarity 1 to each other.
     """
     sketch = shingle_sketch(pages, text, k, min_words)
-    sig = cut(signatures(pages, key, text, k, t, min_words, sketch))
-    members = sig.select("set_id", "id").distinct()
-    sets = sig.select("set_id", "group_id", "n", *BITS).distinct()
-    crowded = sets.groupBy("group_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("group_id").alias("ga"), F.col("group_id").alias("gb"))
-    side = lambda x: sets.select(F.col("group_id").alias(f"g{x}"), F.col("set_id").alias(f"s{x}"), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in BITS])
+    sig = cut(signatures(pages, key, text, k, t, min_words, common, sketch))
+    many = cut(sig.groupBy("group_hash", "n").agg(F.min("id").alias("gid"), F.max("id").alias("last")).filter("gid != last").drop("last"))
+    named = sig.join(broadcast_if_small(many), ["group_hash", "n"], "left")
+    # the sets of groups of several pages; every other group is one set of one page
+    inside = cut(named.filter("gid is not null").select("gid", "set_hash", "id").distinct())
+    sets = inside.groupBy("gid", "set_hash").agg(F.min("id").alias("sid"), F.max("id").alias("last"))
+    copies = inside.join(sets.filter("sid != last"), ["gid", "set_hash"]).select(F.col("sid").alias("set_id"), "id")
+    met = _group_pairs(named.filter("gid is null or gid = id").select(F.col("id").alias("gid"), "n", "prefix"), sketch, t, block, common)
     # group pairs, and the pairs within a group, expand to pairs of different sets
-    differ = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in BITS), F.lit(0))
-    cand = cut(
-        _group_pairs(sig, sketch, t, block)
-        .unionByName(crowded)
-        .join(side("a"), "ga")
-        .join(side("b"), "gb")
-        .filter((F.col("ga") != F.col("gb")) | (F.col("sa") < F.col("sb")))
-        .filter((F.col("na") + F.col("nb") - differ) / 2.0 >= t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9)
-        .select(F.least("sa", "sb").alias("set_a"), F.greatest("sa", "sb").alias("set_b"))
-    )
-    wanted = cand.select(F.col("set_a").alias("set_id")).unionByName(cand.select(F.col("set_b").alias("set_id")))
-    body = _keep_wanted(sig.select("set_id", "ordered"), wanted).groupBy("set_id").agg(F.first("ordered").alias("ordered"))
-    both = cand.join(body.select(F.col("set_id").alias("set_a"), F.col("ordered").alias("xa")), "set_a").join(body.select(F.col("set_id").alias("set_b"), F.col("ordered").alias("xb")), "set_b")
+    side = lambda x: sets.select(F.col("gid").alias(f"g{x}"), F.col("sid").alias(f"s{x}"))
+    across = met.join(side("a"), "ga", "left").join(side("b"), "gb", "left").select(F.coalesce("sa", "ga").alias("sa"), F.coalesce("sb", "gb").alias("sb"))
+    within = side("a").join(side("b").withColumnRenamed("gb", "ga"), "ga").filter("sa < sb").select("sa", "sb")
+    cand = cut(across.unionByName(within).select(F.least("sa", "sb").alias("set_a"), F.greatest("sa", "sb").alias("set_b")))
+    return verified(cand, pages, key, text, k, t), copies
+
+
+def verified(cand: DataFrame, pages: DataFrame, key: str, text: str, k: int, t: float) -> DataFrame:
+    """(set_a, set_b, similarity) of the candidates that are similar; their shingles are made again in a second pass over the pages."""
+    wanted = cand.select(F.explode(F.array("set_a", "set_b")).alias("sid")).distinct()
+    n = 2 * cand.count()
+    few = _keep_wanted(pages.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("sid"), F.col(text).alias("text")), "sid", wanted, n)
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler(k)
+        for b in batches:
+            yield objects({"sid": b["sid"], "body": [shingle(x)[1].tobytes() for x in b["text"]]})
+
+    body = few.mapInPandas(shingles, "sid long, body binary").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("body").alias("body"))
+    both = cand.join(body.select(F.col("sid").alias("set_a"), F.col("body").alias("xa")), "set_a").join(body.select(F.col("sid").alias("set_b"), F.col("body").alias("xb")), "set_b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sim = np.empty(len(b))
             for i, (x, y) in enumerate(zip(b["xa"], b["xb"])):
-                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                sim[i] = common / ((len(x) + len(y)) // 8 - common)
+                shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                sim[i] = shared / ((len(x) + len(y)) // 8 - shared)
             keep = sim >= t - 1e-12
             yield objects({"set_a": b["set_a"][keep], "set_b": b["set_b"][keep], "similarity": sim[keep]})
 
-    return both.mapInPandas(verify, "set_a long, set_b long, similarity double"), members
+    return both.mapInPandas(verify, "set_a long, set_b long, similarity double")
 
 
-def _group_pairs(sig: DataFrame, sketch: np.ndarray, t: float, block: int) -> DataFrame:
-    """Distinct (ga, gb) of groups that share a prefix shingle and pass the filters.
+def _group_pairs(groups: DataFrame, sketch: tables.Shared, t: float, block: int, common: int) -> DataFrame:
+    """(ga, gb): groups that share enough prefix shingles and pass the filters.
 
-    A shingle that the sketch counts at most ``block`` (over the mean load) cannot have more postings. The others are
-    divided into blocks of near sizes that meet pairwise, each pair of blocks in a cell of its own.
+    Shingles that the sketch counts once have no partner and are not posted. One that it counts at most ``block`` (over the mean load)
+    has no more postings than that. The others are divided into blocks of near sizes that meet pairwise, each pair of blocks in a cell of its own.
     """
-    spark = sig.sparkSession
-    shared = spark.sparkContext.broadcast(sketch)  # of fixed size
-    most = block + float(sketch.mean())
-    parts = shuffle_partitions(spark)
+    spark = groups.sparkSession
+    table = tables.opened(sketch.blocks.value, sketch.size, np.uint32)
+    most = block + float(table.mean(dtype=np.float64))
+    any_hot = bool((table > most).any())
+    schema = "token long, gid long, place long"  # place: the group's size, and the shingle's place among its own
 
     def postings(hot: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: set[int] = set()  # a group is posted once by each task
+            counts = sketch.table()
             for b in batches:
-                b = b[~b["group_id"].duplicated() & ~b["group_id"].isin(seen)]
                 if not len(b):
                     continue
-                seen.update(b["group_id"].tolist())
                 n = b["n"].to_numpy(np.int64)
-                p = prefix_length(n, t)
-                tok = np.concatenate([np.frombuffer(x, np.uint64, count=m) for x, m in zip(b["ordered"], p)])
+                p = prefix_length(n, t, common)
+                tok = _tokens(b["prefix"])
                 pos = np.arange(len(tok)) - np.repeat(np.cumsum(p) - p, p)
-                ok = (shared.value[_bucket(tok)] > most) == hot
-                yield pd.DataFrame({"token": tok.view(np.int64)[ok], "group_id": np.repeat(b["group_id"].to_numpy(), p)[ok], "n": np.repeat(n, p).astype(np.int32)[ok], "pos": pos.astype(np.int32)[ok]})
-
-        return sig.select("group_id", "n", "ordered").mapInPandas(run, "token long, group_id long, n int, pos int")
-
-    cold = postings(False).repartition(parts, "token").sortWithinPartitions("token", "n", "group_id")
-    found = cold.withColumn("cell", F.lit(0).cast("long")).withColumn("side", F.lit(0)).mapInPandas(lambda it: _meet(it, t), "ga long, gb long")
-    hot = postings(True).distinct()
-    blocks = hot.groupBy("token").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    # the rank within a token comes from the counts of its sizes, not from a window over the whole token
-    by_size = hot.groupBy("token", "n").agg(F.count("*").alias("c"))
-    before = by_size.withColumn("before", F.sum("c").over(W.partitionBy("token").orderBy("n")) - F.col("c"))
-    ranked = hot.join(before, ["token", "n"]).join(blocks, "token").withColumn("blk", F.least(F.col("blocks") - 1, F.floor((F.col("before") + F.pmod(F.xxhash64("group_id"), F.col("c"))) / block).cast("long")))
-    # a row of block i goes to cell (i, j) for each j: as side 1 or 2 to meet another block, as side 0 to meet its own
-    met = ranked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "token", "group_id", "n", "pos",
-        (F.least("blk", "other") * F.col("blocks") + F.greatest("blk", "other")).alias("cell"),
-        F.when(F.col("blk") == F.col("other"), 0).when(F.col("blk") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
-    found_hot = met.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "n", "group_id").mapInPandas(lambda it: _meet(it, t), "ga long, gb long")
-    return found.unionByName(found_hot).repartition(parts, "ga").distinct()  # the join on ga that follows needs no other shuffle
+                c = counts[_bucket(tok, sketch.size)]
+                ok = (c > most) if hot else (c > 1) & (c <= most)
+                yield pd.DataFrame({"token": (tok >> np.uint64(64 - 8 * TOKEN)).astype(np.int64)[ok], "gid": np.repeat(b["gid"].to_numpy(), p)[ok], "place": ((np.repeat(n, p) << 32) + pos)[ok]})
+
+        return groups.mapInPandas(run, schema)
+
+    length = F.octet_length("prefix") / TOKEN
+    parts = partitions_for(spark, int(groups.agg(F.sum(length)).first()[0] or 0), 1_000_000)
+    met_schema = "ga long, gb long, c long, least long"
+    cold = postings(False).repartition(parts, "token").sortWithinPartitions("token", "place", "gid")
+    found = cold.withColumn("cell", F.lit(0).cast("long")).withColumn("side", F.lit(0)).mapInPandas(lambda it: _meet(it, t, common), met_schema)
+    if any_hot:
+        hot = postings(True).distinct()
+        blocks = hot.groupBy("token").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+        # the rank within a token comes from the counts of its sizes, not from a window over the whole token
+        hot = hot.withColumn("n", F.shiftright("place", 32))
+        by_size = hot.groupBy("token", "n").agg(F.count("*").alias("many"))
+        before = by_size.withColumn("before", F.sum("many").over(W.partitionBy("token").orderBy("n")) - F.col("many"))
+        ranked = hot.join(before, ["token", "n"]).join(blocks, "token").withColumn("blk", F.least(F.col("blocks") - 1, F.floor((F.col("before") + F.pmod(F.xxhash64("gid"), F.col("many"))) / block).cast("long")))
+        # a row of block i goes to cell (i, j) for each j: as side 1 or 2 to meet another block, as side 0 to meet its own
+        met = ranked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+            "token", "gid", "place",
+            (F.least("blk", "other") * F.col("blocks") + F.greatest("blk", "other")).alias("cell"),
+            F.when(F.col("blk") == F.col("other"), 0).when(F.col("blk") < F.col("other"), 1).otherwise(2).alias("side"),
+        )
+        found = found.unionByName(met.repartition(parts, "token", "cell").sortWithinPartitions("token", "cell", "place", "gid").mapInPandas(lambda it: _meet(it, t, common), met_schema))
+    return found.groupBy("ga", "gb").agg(F.sum("c").alias("c"), F.max("least").alias("least")).filter("c >= least").select("ga", "gb")
 
 
 def near_duplicate_pages(pages: DataFrame, key: str = "page_id", text: str = "text", k: int = 5, t: float = 0.8, min_words: int = 1) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of rows with similarity at least ``t``, copies included."""
-    pairs, members = similar_pairs(pages, key, text, k, t, min_words)
-    across = pairs.join(members.select(F.col("set_id").alias("set_a"), F.col("id").alias("a")), "set_a").join(members.select(F.col("set_id").alias("set_b"), F.col("id").alias("b")), "set_b").select("a", "b")
-    m = members.select("set_id", F.col("id").alias("a"))
-    within = m.join(members.select("set_id", F.col("id").alias("b")), "set_id").filter("a < b").select("a", "b")
+    pairs, copies = similar_pairs(pages, key, text, k, t, min_words)
+    side = lambda x: copies.select(F.col("set_id").alias(f"set_{x}"), F.col("id").alias(x))
+    across = pairs.join(side("a"), "set_a", "left").join(side("b"), "set_b", "left").select(F.coalesce("a", "set_a").alias("a"), F.coalesce("b", "set_b").alias("b"))
+    within = side("a").join(side("b").withColumnRenamed("set_b", "set_a"), "set_a").filter("a < b").select("a", "b")
     return across.unionByName(within).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
