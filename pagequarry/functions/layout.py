@@ -33,6 +33,21 @@ def pack_layout(words: list[dict]) -> bytes:
     return zlib.compress(json.dumps(words, ensure_ascii=False).encode(), 6)
 
 
+def layout_of(words: list[dict], width: float, height: float) -> list[dict]:
+    """The stored form of words (t, x0, y0, x1, y1 and block, line and order): places in the text of words joined by single spaces, boxes relative to the page to six places."""
+    out, at = [], 0
+    for i, w in enumerate(words):
+        box = {"x": w["x0"] / width, "y": w["y0"] / height, "w": (w["x1"] - w["x0"]) / width, "h": (w["y1"] - w["y0"]) / height}
+        out.append({"i": i, "t": w["t"], "s": at, "e": at + len(w["t"])} | {k: round(v, 6) for k, v in box.items()} | {"b": w.get("b", 0), "l": w.get("l", 0), "o": w.get("o", i)})
+        at += len(w["t"]) + 1
+    return out
+
+
+def too_little_text(normal_length: int, n_words: int, coverage: float) -> bool:
+    """``needs_ocr`` for one page."""
+    return normal_length < 50 or (n_words < 10 and coverage >= 0.5)
+
+
 def word_offsets(words: Column) -> Column:
     """[{t, s, e}] of words that are joined by single spaces: start and end character of each.
 

@@ -76,6 +76,27 @@ class HashEmbedder:
         return out / np.where(n > 0, n, 1)
 
 
+_loaded: dict[str, object] = {}
+
+
+class PerWorker:
+    """A model that each Python worker loads when it is first asked; only ``make`` and the name travel to the tasks."""
+
+    def __init__(self, name: str, make: Callable[[], object]):
+        self.name, self.make = name, make
+
+    def model(self):
+        if self.name not in _loaded:
+            _loaded[self.name] = self.make()
+        return _loaded[self.name]
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return self.model().encode(texts)
+
+    def rerank(self, query: str, texts: list[str]) -> list[float]:
+        return self.model().rerank(query, texts)
+
+
 class OverlapReranker:
     """A deterministic reranker without a model: distinct query terms in the text, less one."""
 

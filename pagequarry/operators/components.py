@@ -31,6 +31,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"no end after {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
         roots.join(e.select(F.col("u").alias("node")), "node", "left_anti")

@@ -2,36 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.frames import records
 from pagequarry.functions.text import normalize
+from pagequarry.operators.index import PageIndex
+from pagequarry.session import broadcast_if_small, cut
+
+SHORTEST = 3
+
 
+def _possible(index: PageIndex | None, pages: DataFrame, needles: list[str]) -> DataFrame:
+    """The pages in which a needle can occur, by the stored trigrams; without an index, all."""
+    if index is None:
+        return pages
+    some = cut(index.pages_with({n: [] for n in needles}).select("page_id").distinct())
+    return pages.join(broadcast_if_small(some), "page_id", "left_semi")
 
-def exact_matches(pages: DataFrame, documents: DataFrame, query: str) -> DataFrame:
+
+def exact_matches(pages: DataFrame, documents: DataFrame, query: str, index: PageIndex | None = None) -> DataFrame:
     """(page_id, document_id, title, page_number, score) of every match in active documents. Needles under three characters match nothing."""
     needle = normalize(query) or ""
-    found = pages.filter(F.col("normalized_text").contains(needle)) if len(needle) >= 3 else pages.filter(F.lit(False))
+    narrow = pages.select("page_id", "document_id", "page_number", "normalized_text")
+    found = _possible(index, narrow, [needle]).filter(F.col("normalized_text").contains(needle)) if len(needle) >= SHORTEST else narrow.filter(F.lit(False))
     docs = documents.filter("active").select(F.col("doc_id").alias("document_id"), "title")
     return found.select("page_id", "document_id", "page_number").distinct().join(docs, "document_id").select("page_id", "document_id", "title", "page_number", F.lit(1.0).alias("score"))
 
 
-def exact_page(pages: DataFrame, documents: DataFrame, query: str, page: int = 1, size: int = 10) -> DataFrame:
+def exact_page(pages: DataFrame, documents: DataFrame, query: str, page: int = 1, size: int = 10, index: PageIndex | None = None) -> DataFrame:
     """One page of the matches, by title and page number."""
-    return exact_matches(pages, documents, query).orderBy("title", "page_number", "page_id").offset((page - 1) * size).limit(size)
+    return exact_matches(pages, documents, query, index).orderBy("title", "page_number", "page_id").offset((page - 1) * size).limit(size)
 
 
-def exact_counts(pages: DataFrame, documents: DataFrame, needles: DataFrame, key: str = "term_id", needle: str = "term", most: int = 10_000) -> DataFrame:
-    """(key, total) of a small table of needles, in one pass over the pages; needles without a match give no row."""
+def exact_counts(pages: DataFrame, documents: DataFrame, needles: DataFrame, key: str = "term_id", needle: str = "term", most: int = 100_000, shortest: int = SHORTEST) -> DataFrame:
+    """(key, total) of a small table of needles, by one automaton in one pass over the pages; needles under three characters and those without a match give no row."""
     rows = needles.select(key, needle).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} needles")
-    listed = [(r[key], normalize(r[needle]) or "") for r in rows]
-    listed = [(k, n) for k, n in listed if len(n) >= 3]
-    if not listed:
-        return needles.select(key).limit(0).withColumn("total", F.lit(0).cast("long"))
-    hits = F.filter(F.array(*[F.when(F.col("normalized_text").contains(n), F.lit(k)) for k, n in listed]), lambda k: k.isNotNull())
+    wanted: dict[str, list] = {}
+    for r in rows:
+        n = normalize(r[needle]) or ""
+        if len(n) >= shortest:
+            wanted.setdefault(n, []).append(r[key])
+    kind = needles.schema[key].dataType.simpleString()
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a = ahocorasick.Automaton()
+        for n, keys in wanted.items():
+            a.add_word(n, keys)
+        if wanted:
+            a.make_automaton()
+        for b in batches:
+            found = [(k, p, d) for p, d, x in zip(b["page_id"], b["document_id"], b["normalized_text"]) for k in {k for _, keys in a.iter(x) for k in keys}] if wanted else []
+            yield records(found, [key, "page_id", "document_id"])
+
+    found = pages.filter("normalized_text is not null").select("page_id", "document_id", "normalized_text").mapInPandas(search, f"{key} {kind}, page_id long, document_id long")
     active = documents.filter("active").select(F.col("doc_id").alias("document_id"))
-    found = pages.filter("normalized_text is not null").select("page_id", "document_id", hits.alias("hits")).filter(F.size("hits") > 0)
-    one = found.select("page_id", "document_id", F.explode("hits").alias(key)).distinct().join(active, "document_id", "left_semi")
-    return one.groupBy(key).agg(F.count("*").alias("total"))
+    return found.distinct().join(active, "document_id", "left_semi").groupBy(key).agg(F.count("*").alias("total"))

@@ -39,11 +39,6 @@ def replace_children(children: DataFrame, new: DataFrame, key: str) -> DataFrame
     return children.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The new rows in place of stored ones of the same key; every key comes out once if it does so in both."""
-    return replace_children(stored, new, key)
-
-
 def missing_passages(passages: DataFrame, vectors: DataFrame) -> DataFrame:
     """(passage_id, page_id): active passages without an embedding id, or whose id has no stored vector."""
     have = vectors.filter("embedding is not null").select("embedding_id").distinct()
@@ -71,6 +66,14 @@ def requeue_failed_ocr(documents: DataFrame, pages: DataFrame) -> DataFrame:
     return documents.select("doc_id", "state").join(failed, "doc_id", "left").select("doc_id", F.when(F.col("_failed"), "pending").otherwise(F.col("state")).alias("state"))
 
 
+def document(documents: DataFrame, doc_id: int) -> DataFrame:
+    """The document of an id; there being none is an error."""
+    found = documents.filter(F.col("doc_id") == doc_id)
+    if found.isEmpty():
+        raise LookupError(f"no document {doc_id}")
+    return found
+
+
 def job_counters(outcomes: DataFrame) -> DataFrame:
     """(processed, indexed, failed) of per-file outcomes in a column ``outcome``: indexed, unchanged or failed."""
     return outcomes.agg(F.count("*").alias("processed"), F.count_if(F.col("outcome") == "indexed").alias("indexed"), F.count_if(F.col("outcome") == "failed").alias("failed"))

@@ -30,6 +30,11 @@ def highlights(layout: Column, normal: Column, terms: list[str], start: Column,
     return F.when((F.size(hit) == 0) & (end > start), rest).otherwise(hit)
 
 
+def normal_words(layout: Column) -> Column:
+    """The normalised words of a layout, in its order."""
+    return F.split(normalize_text(F.array_join(F.transform(layout, lambda w: F.regexp_replace(w["t"], r"\s+", "")), "\n")), " ")
+
+
 def hydrate(ranked: DataFrame, pages: DataFrame, documents: DataFrame, query: str) -> DataFrame:
     """The shown rows with document, path, snippet, boxes and warning. ``ranked``: page_id, score, word_start, word_end (null end: up to 60 words), pos."""
     few = F.broadcast(ranked)  # one page of results
@@ -40,11 +45,10 @@ def hydrate(ranked: DataFrame, pages: DataFrame, documents: DataFrame, query: st
     rows = rows.withColumn("_words", ws).withColumn("_layout", unpack_layout(F.col("layout_json")))
     start = F.coalesce("word_start", F.lit(0))
     end = F.coalesce("word_end", F.least(F.size("_words"), F.lit(60)))
-    normal = F.split(normalize_text(F.array_join(F.transform("_layout", lambda w: F.regexp_replace(w["t"], r"\s+", "")), "\n")), " ")
     return rows.select(
         "page_id", "document_id", "title", "path", "page_number", F.round("score", 6).alias("score"),
         snippet(F.col("_words"), start, end).alias("snippet"),
-        F.coalesce(highlights(F.col("_layout"), normal, query_terms(query), start, end), F.array().cast("array<struct<x:double,y:double,w:double,h:double>>")).alias("highlights"),
+        F.coalesce(highlights(F.col("_layout"), normal_words(F.col("_layout")), query_terms(query), start, end), F.array().cast("array<struct<x:double,y:double,w:double,h:double>>")).alias("highlights"),
         "extraction_method", F.coalesce(F.nullif("warning", F.lit("")), "error").alias("warning"),
         F.format_string("/api/documents/%d/pdf#page=%d", "document_id", "page_number").alias("pdf_url"), "pos",
     )

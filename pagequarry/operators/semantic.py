@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.functions.scores import inner_product
-
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
     v = F.col("embedding")
@@ -21,8 +21,18 @@ def top_passages(vectors: DataFrame, query: list[float], limit: int = 400, among
     v = usable(vectors, len(query))
     if among is not None:
         v = v.join(among.select("embedding_id").distinct(), "embedding_id", "left_semi")
-    score = inner_product(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))
-    return v.select("embedding_id", score.alias("score")).orderBy(F.desc(F.round("score", 9)), "embedding_id").limit(limit)
+    q = np.array(query, np.float64)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The best of each batch, by one matrix product."""
+        for b in batches:
+            if len(b):
+                s = np.stack(b["embedding"].to_numpy()).astype(np.float64) @ q
+                order = np.lexsort((b["embedding_id"].to_numpy(), -np.round(s, 9)))[:limit]
+                yield pd.DataFrame({"embedding_id": b["embedding_id"].to_numpy()[order], "score": s[order]})
+
+    v = v.filter("embedding_id is not null").select("embedding_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    return v.mapInPandas(best, "embedding_id long, score double").orderBy(F.desc(F.round("score", 9)), "embedding_id").limit(limit)
 
 
 def add_vectors(stored: DataFrame, new: DataFrame, dim: int | None) -> DataFrame:
@@ -61,7 +71,3 @@ def coverage(passages: DataFrame) -> DataFrame:
 def coverage_error(total: int, embedded: int) -> str | None:
     """Why there is no semantic result, if the index is incomplete."""
     return f"Semantic index is being built ({embedded} of {total} passages ready)." if total and embedded < total else None
-
-
-def norm(v: list[float]) -> float:
-    return math.sqrt(sum(x * x for x in v))

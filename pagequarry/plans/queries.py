@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import layout, scores
 from pagequarry.functions import text as tx
-from pagequarry.functions.models import HashEmbedder, OverlapReranker, embed
+from pagequarry.functions.models import HashEmbedder, OverlapReranker, PerWorker, embed
 from pagequarry.operators import chunks, exact, fusion, incremental, lexical, results, semantic
+from pagequarry.operators.index import PageIndex, index_of
 from pagequarry.plans import sql
-from pagequarry.sources import files
 from pagequarry.sources.tables import latest, table
 
 #: the query strings of the single-query runs; sql.py has the same ones
 SINGLE, BOTH, MARKED, NEEDLE = sql.SINGLE, sql.BOTH, sql.MARKED, sql.NEEDLE
+EMBEDDER = PerWorker("hash", HashEmbedder)
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
 
@@ -37,6 +38,10 @@ def _delivered(s: SparkSession, d: str, *columns: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", *columns)
 
 
+def _index(s: SparkSession, d: str) -> PageIndex:
+    return index_of(s, table(s, d, "pages"), "pages")
+
+
 def _query_vector(s: SparkSession, d: str) -> list[float]:
     first = semantic.usable(table(s, d, "passage_vectors"), 64).filter(F.exists("embedding", lambda x: x != 0)).orderBy("embedding_id").select("embedding").first()
     return [float(x) for x in first[0]]
@@ -127,7 +132,7 @@ def document_states(s, d):
 @query
 def source_list(s, d):
     docs = table(s, d, "documents").groupBy("source").agg(F.count("*").alias("documents"))
-    return table(s, d, "source_roots").join(docs, "source", "left").select("root_id", "path", F.coalesce("documents", F.lit(0)).alias("documents"), F.col("last_scanned_at").isNotNull().alias("scanned"))
+    return table(s, d, "source_roots").join(docs, "source", "left").select("root_id", "path", F.coalesce("documents", F.lit(0)).alias("documents"), F.col("last_scanned_at").isNotNull().alias("scanned")).orderBy("path")
 
 
 @query
@@ -155,7 +160,8 @@ def ocr_requeue(s, d):
 
 @query
 def postings_stats(s, d):
-    return lexical.term_stats(table(s, d, "pages"))
+    """Document and corpus frequency of every stored term."""
+    return _index(s, d).term_stats()
 
 
 @query
@@ -164,7 +170,7 @@ def corpus_stats(s, d):
 
 
 def _bm25(s, d, q):
-    return lexical.bm25(table(s, d, "pages"), table(s, d, "documents"), q).select("page_id", F.round("score", 6).alias("score"))
+    return lexical.bm25(_index(s, d), table(s, d, "pages"), table(s, d, "documents"), q).select("page_id", F.round("score", 6).alias("score"))
 
 
 @query
@@ -184,28 +190,30 @@ def lexical_diacritics(s, d):
 
 @query
 def lexical_all_terms(s, d):
-    """BM25 of every search term in one pass."""
-    return lexical.bm25_many(table(s, d, "pages"), table(s, d, "documents"), table(s, d, "search_terms")).select("term_id", "page_id", F.round("score", 6).alias("score"), "rank")
+    """BM25 of every search term, by one reading of their postings."""
+    return lexical.bm25_many(_index(s, d), table(s, d, "pages"), table(s, d, "documents"), table(s, d, "search_terms")).select("term_id", "page_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query
 def exact_match(s, d):
-    return exact.exact_page(table(s, d, "pages"), table(s, d, "documents"), NEEDLE)
+    return exact.exact_page(table(s, d, "pages"), table(s, d, "documents"), NEEDLE, index=_index(s, d))
 
 
 @query
 def exact_match_page2(s, d):
-    return exact.exact_page(table(s, d, "pages"), table(s, d, "documents"), NEEDLE, page=2)
+    return exact.exact_page(table(s, d, "pages"), table(s, d, "documents"), NEEDLE, page=2, index=_index(s, d))
 
 
 @query
 def exact_total(s, d):
-    return exact.exact_matches(table(s, d, "pages"), table(s, d, "documents"), NEEDLE).agg(F.count("*").alias("total"))
+    return exact.exact_matches(table(s, d, "pages"), table(s, d, "documents"), NEEDLE, _index(s, d)).agg(F.count("*").alias("total"))
 
 
 @query
-def exact_short_needle(s, d):
-    return exact.exact_matches(table(s, d, "pages"), table(s, d, "documents"), "is").agg(F.count("*").alias("total"))
+def exact_short_needles(s, d):
+    """Which needles the exact search refuses for their length: the two-letter words of the pages, with the pages that a search for them would miss."""
+    w = _delivered(s, d, "normalized_text").select("page_id", F.explode(F.array_distinct(F.split("normalized_text", " "))).alias("needle")).filter("length(needle) between 1 and 2")
+    return w.distinct().groupBy("needle").agg(F.count("*").alias("pages"))
 
 
 @query
@@ -237,7 +245,7 @@ def semantic_pages(s, d):
 
 
 def _fused(s, d):
-    return fusion.rrf(lexical.bm25(table(s, d, "pages"), table(s, d, "documents"), SINGLE), _semantic_hits(s, d))
+    return fusion.rrf(lexical.bm25(_index(s, d), table(s, d, "pages"), table(s, d, "documents"), SINGLE), _semantic_hits(s, d))
 
 
 @query
@@ -266,9 +274,9 @@ def _shown(s, d):
 
 @query
 def hybrid_search(s, d):
-    """The flagship: one page of hybrid results with provenance, snippet and number of boxes."""
+    """The flagship: one page of hybrid results with provenance, snippet and the number of highlighted boxes."""
     rows = results.hydrate(_shown(s, d).select("page_id", "score", "word_start", "word_end", "pos"), table(s, d, "pages"), table(s, d, "documents"), SINGLE)
-    return rows.select("pos", "page_id", "document_id", "title", "path", "page_number", "score", "snippet", "extraction_method", "warning", "pdf_url")
+    return rows.select("pos", "page_id", "document_id", "title", "path", "page_number", "score", "snippet", F.size("highlights").alias("boxes"), "extraction_method", "warning", "pdf_url")
 
 
 @query
@@ -294,6 +302,14 @@ def highlights(s, d):
     return p.join(wanted, "word", "left_semi").select("page_id", "word_no", "word")
 
 
+@query
+def highlight_boxes(s, d):
+    """Boxes of the words of a query on every page with a stored layout; where no word hits, those of the first sixty words."""
+    p = _delivered(s, d, "layout_json").filter("layout_json is not null").withColumn("l", layout.unpack_layout(F.col("layout_json")))
+    boxes = results.highlights(F.col("l"), results.normal_words(F.col("l")), results.query_terms(BOTH), F.lit(0), F.least(F.size("l"), F.lit(60)))
+    return p.select("page_id", F.size(boxes).alias("boxes"))
+
+
 @query
 def result_hydrate(s, d):
     """Provenance of every page: document, warning or the document's error, link."""
@@ -348,12 +364,14 @@ def missing_docs(s, d):
 
 @query
 def backfill_batch(s, d):
-    return incremental.backfill(table(s, d, "passages"), table(s, d, "passage_vectors"), HashEmbedder())
+    got = incremental.backfill(table(s, d, "passages"), table(s, d, "passage_vectors"), EMBEDDER)
+    return got.select("embedding_id", F.size("embedding").alias("dim"), "error")
 
 
 @query
 def embed_udf(s, d):
-    return embed(latest(table(s, d, "passages"), "passage_id").filter("active"), HashEmbedder(), "passage_id", "text")
+    got = embed(latest(table(s, d, "passages"), "passage_id").filter("active"), EMBEDDER, "passage_id", "text")
+    return got.select("passage_id", F.size("embedding").alias("dim"), "error")
 
 
 @query
@@ -363,9 +381,8 @@ def latest_pages(s, d):
 
 
 @query
-def file_discovery(s, d):
-    """The data folder's own files."""
-    return files.discover(s, [d], "*.parquet").select(results.title_of_path(F.col("path")).alias("name"), "size")
+def document_lookup(s, d):
+    return incremental.document(table(s, d, "documents"), 42).select("doc_id", "path", "title", "state", "page_count")
 
 
 def queries() -> dict[str, Query]:

@@ -6,7 +6,9 @@ from pagequarry.functions.text import ACCENTED, PLAIN, query_tokens
 
 SINGLE, BOTH, MARKED, NEEDLE = "bearing", "corrosion resistant", "après", "corrosion-resistant"
 
-_PG = "pg AS (SELECT page_id, any_value(document_id) AS document_id, any_value(page_number) AS page_number, any_value(text) AS text, any_value(normalized_text) AS normalized_text, any_value(warning) AS warning, any_value(extraction_method) AS extraction_method FROM pages GROUP BY page_id)"
+# a page whose OCR was unavailable has an empty layout, every other stored layout has the words of the text
+_READ = "coalesce(warning NOT ILIKE 'OCR unavailable:%', true)"
+_PG = f"pg AS (SELECT page_id, any_value(document_id) AS document_id, any_value(page_number) AS page_number, any_value(text) AS text, any_value(normalized_text) AS normalized_text, any_value(warning) AS warning, any_value(extraction_method) AS extraction_method, bool_or(layout_json IS NOT NULL AND {_READ}) AS laid FROM pages GROUP BY page_id)"
 _FOLD = f"translate(regexp_replace(lower({{x}}), '[\\x{{{{0300}}}}-\\x{{{{036f}}}}]', '', 'g'), '{ACCENTED}', '{PLAIN}')"
 _WORDS = "list_filter(regexp_split_to_array({x}, '[ \\n]+'), lambda w: w <> '')"
 
@@ -58,6 +60,9 @@ def _blend(logit: str) -> str:
     b AS (SELECT *, 0.75::DOUBLE / (1 + exp(-greatest(-30, least(30, logit)))) + 0.25::DOUBLE * rrf / max(rrf) OVER () AS score FROM b1)"""
 
 
+#: highlighted words of a page with a layout: the hits of w, else the words from s to e
+_BOXES = "CASE WHEN NOT laid THEN 0 WHEN len(list_filter(list_transform(w, lambda y: lower(y)), lambda x: {hit})) > 0 THEN len(list_filter(list_transform(w, lambda y: lower(y)), lambda x: {hit})) ELSE greatest(0, least(len(w), e) - s) END::INTEGER"
+_LAID = f"lw AS (SELECT page_id, {_words('text')} AS v, CASE WHEN {_READ} THEN {_words('text')} ELSE [] END AS w FROM pages WHERE layout_json IS NOT NULL)"
 _OVERLAP = f"(CASE WHEN list_contains({_terms('rt')}, '{SINGLE}') THEN 1.0 ELSE 0.0 END - 1.0)::DOUBLE"
 _HYBRID = f"WITH {_lex(SINGLE)}, {_SEM}, {_RRF}"
 _ONLY_SEM = f"WITH lex AS (SELECT 0::BIGINT AS page_id, 0.0::DOUBLE AS score WHERE false), {_SEM}, {_RRF}"
@@ -106,7 +111,7 @@ def oracle_sql() -> dict[str, str]:
         "exact_match": f"{_EXACT} SELECT * FROM x ORDER BY title, page_number, page_id LIMIT 10",
         "exact_match_page2": f"{_EXACT} SELECT * FROM x ORDER BY title, page_number, page_id LIMIT 10 OFFSET 10",
         "exact_total": f"{_EXACT} SELECT count(*) AS total FROM x",
-        "exact_short_needle": "SELECT 0::BIGINT AS total",
+        "exact_short_needles": f"WITH {_PG}, w AS (SELECT page_id, unnest(string_split(normalized_text, ' ')) AS needle FROM pg) SELECT needle, count(DISTINCT page_id) AS pages FROM w WHERE length(needle) BETWEEN 1 AND 2 GROUP BY 1",
         "exact_all_terms": f"WITH {_PG} SELECT term_id, count(*) AS total FROM pg JOIN search_terms ON contains(normalized_text, replace(lower(term), 'ß', 'ss')) WHERE document_id IN (SELECT doc_id FROM documents WHERE active) GROUP BY 1",
         "vector_topk": f"WITH {_VEC} SELECT embedding_id, round(score, 6) AS score FROM tk",
         "vector_norms": f"WITH {_VEC} SELECT embedding_id, CASE WHEN list_inner_product(e, e) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM us",
@@ -115,12 +120,17 @@ def oracle_sql() -> dict[str, str]:
         "rerank_blend": f"{_HYBRID}, {_blend(_OVERLAP)} SELECT page_id, logit, round(score, 6) AS score FROM b",
         "hybrid_rerank_offline": f"{_HYBRID}, {_blend('0.0::DOUBLE')} SELECT page_id, round(score, 6) AS score FROM b",
         "hybrid_search": f"""{_HYBRID}, {_blend(_OVERLAP)}, t AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, fused_rank)::INTEGER AS pos FROM b),
-            o AS (SELECT t.pos, t.page_id, t.score, t.word_start AS s, t.word_end AS e, pg.document_id, pg.page_number, pg.extraction_method, pg.warning, {_words('pg.text')} AS w FROM t JOIN pg ON pg.page_id = t.page_id WHERE pos <= 10)
-            SELECT pos, page_id, document_id, title, path, page_number, round(score, 6) AS score, array_to_string(w[greatest(0, s - 12) + 1 : least(len(w), greatest(e, s + 50) + 12)], ' ') AS snippet, extraction_method, coalesce(nullif(warning, ''), error) AS warning,
+            o AS (SELECT t.pos, t.page_id, t.score, t.word_start AS s, t.word_end AS e, pg.document_id, pg.page_number, pg.extraction_method, pg.warning, laid, {_words('pg.text')} AS w FROM t JOIN pg ON pg.page_id = t.page_id WHERE pos <= 10)
+            SELECT pos, page_id, document_id, title, path, page_number, round(score, 6) AS score, array_to_string(w[greatest(0, s - 12) + 1 : least(len(w), greatest(e, s + 50) + 12)], ' ') AS snippet, {_BOXES.format(hit=f"x = '{SINGLE}'")} AS boxes, extraction_method, coalesce(nullif(warning, ''), error) AS warning,
             '/api/documents/' || document_id || '/pdf#page=' || page_number AS pdf_url FROM o JOIN documents ON doc_id = document_id""",
         "semantic_search": f"{_ONLY_SEM}, {_blend(_OVERLAP)} SELECT page_id, round(score, 6) AS score FROM b ORDER BY round(b.score, 9) DESC, fused_rank LIMIT 10",
         "snippets": f"WITH w AS (SELECT page_id, coalesce({_words('text')}, []) AS w FROM pages) SELECT page_id, array_to_string(w[1 : least(len(w), greatest(least(len(w), 60), 50) + 12)], ' ') AS snippet FROM w",
         "highlights": f"WITH {_PG}, q AS (SELECT DISTINCT unnest(string_split(replace(lower(term), 'ß', 'ss'), ' ')) AS word FROM search_terms), n AS (SELECT page_id, string_split(normalized_text, ' ') AS a FROM pg WHERE normalized_text IS NOT NULL), x AS (SELECT page_id, unnest(a) AS word, unnest(range(0, len(a)))::INTEGER AS word_no FROM n) SELECT page_id, word_no, word FROM x WHERE word IN (SELECT word FROM q)",
+        "highlight_boxes": f"WITH {_LAID}, x AS (SELECT page_id, w, 0 AS s, 60 AS e, true AS laid FROM lw) SELECT page_id, {_BOXES.format(hit=' OR '.join(f"x = '{t}'" for t in BOTH.split()))} AS boxes FROM x",
+        "layout_words": f"WITH {_LAID} SELECT page_id, len(w)::INTEGER AS n_words, CASE WHEN len(w) > 0 THEN length(array_to_string(w, ' '))::INTEGER END AS n_chars, array_to_string(w, ' ') = array_to_string(v, ' ') AS agrees FROM lw",
+        "document_lookup": "SELECT doc_id, path, title, state, page_count FROM documents WHERE doc_id = 42",
+        "embed_udf": "SELECT DISTINCT passage_id, 64::INTEGER AS dim, NULL::VARCHAR AS error FROM passages WHERE active",
+        "backfill_batch": f"WITH {_MISSING} SELECT passage_id AS embedding_id, 64::INTEGER AS dim, NULL::VARCHAR AS error FROM ms",
         "result_hydrate": f"WITH {_PG} SELECT page_id, title, coalesce(nullif(warning, ''), error) AS warning, '/api/documents/' || document_id || '/pdf#page=' || page_number AS pdf_url FROM pg JOIN documents ON doc_id = document_id",
         "change_classify": f"WITH {_CHANGES} SELECT path, doc_id, change FROM ch",
         "deleted_docs": f"WITH {_CHANGES} SELECT doc_id FROM ch WHERE change = 'gone'",

@@ -10,18 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Sets the checkpoint folder that the cluster names; a temporary one only where none is named (tests)."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """This application's folder on the storage that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local master, where driver and tasks are one process, gets a folder of its own where none is named (tests).
+    """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pagequarry-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="pagequarry-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and written to the shared checkpoint folder; survives lost executors."""
-    ready_checkpoints(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -3,9 +3,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.functions import models
+from pagequarry.functions import layout, models
 from pagequarry.operators import chunks, incremental
 from pagequarry.operators.components import connected_components
+from pagequarry.plans import scan
 from pagequarry.sources import files, roots, snapshots
 from pagequarry.sources.tables import latest
 from pagequarry.streaming import ingest
@@ -13,15 +14,10 @@ from pagequarry.streaming import ingest
 DOCS = "path string, doc_id long, size long, mtime_ns long, state string, active boolean"
 
 
-def loop_chunks(words, most, overlap):
-    out, start = [], 0
-    while start < len(words):
-        end = min(start + most, len(words))
-        out.append((start, end))
-        if end == len(words):
-            return out
-        start = max(start + 1, end - overlap)
-    return out
+def closed_chunks(n, most, overlap):
+    """The k-th window begins at k steps; there are as many as it takes to reach the last word."""
+    step = max(1, most - overlap)
+    return [(k * step, min(n, k * step + most)) for k in range(1 + max(0, -(-(n - most) // step)))]
 
 
 @pytest.mark.parametrize("most,overlap", [(260, 40), (5, 2), (3, 3), (4, 0)])
@@ -32,7 +28,7 @@ def test_chunks(spark, most, overlap):
     for r in chunks.chunk_passages(df, most, overlap).orderBy("page_id", "ordinal").collect():
         got.setdefault(r["page_id"], []).append((r["word_start"], r["word_end"]))
         assert r["text"].split() == [f"w{i}" for i in range(r["word_start"], r["word_end"])]
-    assert got == {n: loop_chunks(range(n), most, overlap) for n in sizes if n}
+    assert got == {n: closed_chunks(n, most, overlap) for n in sizes if n}
 
 
 def test_changes(spark):
@@ -48,10 +44,10 @@ def test_changes(spark):
     assert incremental.classify_changes(existing.limit(0), found.limit(0)).count() == 0
 
 
-def test_replace_and_upsert(spark):
+def test_replace(spark):
     old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "n")], "k long, v string")
     new = spark.createDataFrame([(1, "x"), (3, "y")], "k long, v string")
-    assert sorted(incremental.upsert(old, new, "k").collect(), key=str) == sorted([(1, "x"), (2, "c"), (3, "y"), (None, "n")], key=str)
+    assert sorted(incremental.replace_children(old, new, "k").collect(), key=str) == sorted([(1, "x"), (2, "c"), (3, "y"), (None, "n")], key=str)
 
 
 def test_backfill(spark):
@@ -123,6 +119,51 @@ def test_files(spark, tmp_path):
     assert len(files.with_sha256(spark, [str(tmp_path)]).first()["sha256"]) == 64
 
 
+def test_scan(spark, tmp_path):
+    files_, store = tmp_path / "files", str(tmp_path / "store")
+    files_.mkdir()
+    (files_ / "a.pdf").write_text("Marine steel fasteners with a corrosion resistant coating, in one text of over fifty characters.\fA second page that tells of other bolts and nuts, long enough to stand on its own.")
+    (files_ / "b.pdf").write_bytes(b"%PDF-1.4 /Encrypt")
+    (files_ / "c.pdf").write_text("Carbon steel bolts of many sizes and their tightening torques, which stand in the table below.")
+    root = spark.createDataFrame([(1, str(files_))], "root_id long, path string").selectExpr("root_id", "path", "current_timestamp() AS created_at", "cast(null AS timestamp) AS last_scanned_at")
+    snapshots.save(store, source_roots=root)
+    load = lambda n: snapshots.load(spark, store, n)
+    states = lambda: {r["title"]: (r["state"], r["active"], r["error"], r["page_count"]) for r in load("documents").collect()}
+    run = lambda embedder=None, **more: scan.scan(spark, store, files.PlainTextExtractor(), embedder, **more)
+    counters = lambda j: (j["state"], j["total_files"], j["processed_files"], j["indexed_files"], j["failed_files"])
+
+    # models are offline: documents are indexed with the error
+    assert counters(run(models.OfflineModels())) == ("completed", 3, 3, 2, 1)
+    assert states() == {"a": ("indexed", True, "models offline", 2), "b": ("failed", True, "PDF is password protected", 0), "c": ("indexed", True, "models offline", 1)}
+    assert load("passages").filter("embedding_id is null").count() == 3 and load("source_roots").first()["last_scanned_at"]
+    page = load("pages").filter("text like 'Marine%'").withColumn("words", layout.unpack_layout(F.col("layout_json"))).first()
+    assert [w["t"] for w in page["words"]] == page["text"].split() and all(page["text"][w["s"] : w["e"]] == w["t"] for w in page["words"]) and page["words"][1]["x"] == round(71 / 595, 6)
+    # unchanged, but backfilled: counts as indexed, the error goes; the failed file is tried again
+    assert counters(run(models.PerWorker("four", lambda: models.HashEmbedder(4)))) == ("completed", 3, 3, 2, 1)
+    assert states()["a"] == ("indexed", True, None, 2) and load("passage_vectors").count() == 3 == load("passages").filter("embedding_id = passage_id").count()
+    before = {r["page_id"] for r in load("pages").collect()}
+    assert counters(run(models.HashEmbedder(4))) == ("completed", 3, 3, 0, 1)
+    # one changed, one new, one gone
+    (files_ / "c.pdf").unlink()
+    (files_ / "a.pdf").write_text("Only one page is left of this text, which had two of them, about marine steel fasteners.")
+    os.utime(files_ / "a.pdf", (1, 1))
+    (files_ / "d.pdf").write_text("A new text about spindles and valves that is longer than fifty characters, as it should be.")
+    assert counters(run(models.HashEmbedder(4))) == ("completed", 3, 3, 2, 1)
+    assert {k: v[:2] for k, v in states().items()} == {"a": ("indexed", True), "b": ("failed", True), "c": ("indexed", False), "d": ("indexed", True)}
+    assert load("passages").filter("active").count() == 2 and load("passages").count() == 3 and load("passage_vectors").count() == 3
+    assert len({r["page_id"] for r in load("pages").collect()} & before) == 2
+    # cancelled and single flight
+    asked = iter([False, False, True])
+    have = load("documents").collect()
+    assert run(cancelled=lambda: next(asked))["state"] == "cancelled" and load("documents").collect() == have
+    snapshots.save(store, index_jobs=load("index_jobs").withColumn("state", F.when(F.col("job_id") == 1, "running").otherwise(F.col("state"))))
+    second = run()
+    assert (second["state"], second["error"]) == ("failed", scan.BUSY)
+    assert incremental.document(load("documents"), have[0]["doc_id"]).count() == 1
+    with pytest.raises(LookupError):
+        incremental.document(load("documents"), -1)
+
+
 def test_roots_and_snapshots(spark, tmp_path):
     have = spark.createDataFrame([(1, "/x", None)], "root_id long, path string, created_at timestamp")
     more = roots.added(have, str(tmp_path))
@@ -134,9 +175,12 @@ def test_roots_and_snapshots(spark, tmp_path):
     assert roots.removed(more, 1).count() == 1
     with pytest.raises(roots.SourceError):
         roots.removed(more, 5)
-    snapshots.save(have, str(tmp_path), "roots")
-    snapshots.save(more, str(tmp_path), "roots")
-    assert snapshots.load(spark, str(tmp_path), "roots").count() == 2
+    store = str(tmp_path / "store")
+    snapshots.save(store, roots=have, other=more)
+    snapshots.save(store, roots=more)
+    assert snapshots.load(spark, store, "roots").count() == 2 and snapshots.load(spark, store, "other").count() == 2 and snapshots.stored(spark, store) == {"roots", "other"}
+    with pytest.raises(Exception, match="(?i)exists"):
+        snapshots.publish(spark, f"{store}/_commits", 2, {})
 
 
 def test_stream(spark, tmp_path):

@@ -8,6 +8,7 @@ from pagequarry.functions.layout import pack_layout
 from pagequarry.functions.models import HashEmbedder, OfflineModels
 from pagequarry.functions.text import normalize
 from pagequarry.operators import exact, fusion, lexical, results, semantic
+from pagequarry.operators.index import PageIndex
 from pagequarry.plans.search import Corpus, SearchEngine
 
 TEXTS = ["Marine fastener ISO 4762 A4-80 corrosion resistance", "Unrelated carbon steel bolt", "Über corrosion: corrosion again, corrosion resistance of bolts", "", None, "a bolt_nut assembly", "bolt nut, steel bolt", "is it steel"]
@@ -33,8 +34,13 @@ def corpus(spark):
     return Corpus(pages, docs, passages, spark.createDataFrame(vectors, "embedding_id long, embedding array<float>"))
 
 
+@pytest.fixture(scope="module")
+def index(spark, corpus, tmp_path_factory):
+    return PageIndex.build(spark, corpus.pages, str(tmp_path_factory.mktemp("index")))
+
+
 @pytest.mark.parametrize("query", ["corrosion", "corrosion resistance", "uber", "bolt_nut", "bolt bolt", "steel bolt", "missing", "--"])
-def test_bm25_equals_the_full_text_index(corpus, query):
+def test_bm25_equals_the_full_text_index(corpus, index, query):
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE f USING fts5(t, tokenize='unicode61 remove_diacritics 2')")
     db.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", [(i + 1, t or "") for i, t in enumerate(TEXTS)])
@@ -43,25 +49,44 @@ def test_bm25_equals_the_full_text_index(corpus, query):
     match = " AND ".join(f'"{t}"' for t in re.findall(r"\w+", query))
     want = {r[0]: -r[1] for r in db.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (match,))} if match else {}
     want.pop(8, None)  # the page of a withdrawn document: counted, not shown
-    got = {r["page_id"]: r["score"] for r in lexical.bm25(corpus.pages, corpus.documents, query).collect()}
+    got = {r["page_id"]: r["score"] for r in lexical.bm25(index, corpus.pages, corpus.documents, query).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_bm25_many_equals_bm25(corpus, spark):
+def test_bm25_many_equals_bm25(corpus, index, spark):
     queries = spark.createDataFrame([(1, "corrosion"), (2, "steel bolt"), (3, "bolt bolt"), (4, "--"), (5, None), (6, "nothing")], "term_id long, term string")
-    got = {(r["term_id"], r["page_id"]): round(r["score"], 9) for r in lexical.bm25_many(corpus.pages, corpus.documents, queries).collect()}
-    want = {(k, r["page_id"]): round(r["score"], 9) for k, q in ((1, "corrosion"), (2, "steel bolt"), (3, "bolt bolt")) for r in lexical.bm25(corpus.pages, corpus.documents, q).collect()}
+    got = {(r["term_id"], r["page_id"]): round(r["score"], 9) for r in lexical.bm25_many(index, corpus.pages, corpus.documents, queries).collect()}
+    want = {(k, r["page_id"]): round(r["score"], 9) for k, q in ((1, "corrosion"), (2, "steel bolt"), (3, "bolt bolt")) for r in lexical.bm25(index, corpus.pages, corpus.documents, q).collect()}
     assert got == want
 
 
-def test_postings_and_stats(corpus):
-    index = lexical.indexed_pages(corpus.pages)
-    p = {(r["term"], r["page_id"]): (r["tf"], r["dl"]) for r in lexical.postings(index).collect()}
-    assert p["corrosion", 3] == (3, 8) and p["bolt", 7] == (2, 4)
-    s = {r["term"]: (r["df"], r["cf"]) for r in lexical.term_stats(corpus.pages).collect()}
+def test_postings_and_stats(corpus, index):
+    p = {(r["term"], r["page_id"]): (r["tf"], r["dl"]) for r in index.postings(["corrosion", "bolt", "absent"]).collect()}
+    assert p["corrosion", 3] == (3, 8) and p["bolt", 7] == (2, 4) and len(p) == 5
+    s = {r["term"]: (r["df"], r["cf"]) for r in index.term_stats().collect()}
     assert s["corrosion"] == (2, 4)
-    assert tuple(lexical.corpus_stats(corpus.pages).first()) == (8, sum(v for v, in [(r["dl"],) for r in index.collect()]))
+    assert tuple(lexical.corpus_stats(corpus.pages).first()) == tuple(index.stats().first()) and index.stats().first()["n"] == 8
+    read = index._live("terms", where=index._among(["corrosion"], "term"))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [In(term" in plan or "EqualTo(term,corrosion)" in plan
+
+
+def test_index_follows_changed_pages(spark, corpus, tmp_path):
+    index = PageIndex.build(spark, corpus.pages, str(tmp_path / "i"))
+    new = spark.createDataFrame([(2, 1, "Copper washer, corrosion free", None), (50, 2, "Brand new corrosion", None)], "page_id long, document_id long, text string, normalized_text string").withColumn("normalized_text", F.lower("text"))
+    index.update(new, spark.createDataFrame([(3,)], "page_id long"))
+    now = corpus.pages.filter("page_id not in (2, 3)").select(new.columns).unionByName(new)
+    whole = PageIndex.build(spark, now, str(tmp_path / "whole"))
+    again = PageIndex(spark, str(tmp_path / "i"))
+    again.compact()
+    for other in (index, again, PageIndex(spark, str(tmp_path / "i"))):
+        assert tuple(other.stats().first()) == tuple(whole.stats().first())
+        assert sorted(other.term_stats().collect()) == sorted(whole.term_stats().collect())
+        for needle in ("corrosion", "washer, co", "carbon", "uber corr"):
+            assert sorted(other.pages_with({needle: []}).collect()) == sorted(whole.pages_with({needle: []}).collect())
+        assert sorted(lexical.bm25(other, now, corpus.documents, "corrosion").collect()) == sorted(lexical.bm25(whole, now, corpus.documents, "corrosion").collect())
+    assert PageIndex.build(spark, corpus.pages.limit(0), str(tmp_path / "empty")).postings(["x"]).count() == 0
 
 
 def test_exact_is_exhaustive_and_provenanced(corpus):
@@ -75,6 +100,12 @@ def test_exact_is_exhaustive_and_provenanced(corpus):
     assert [r["page_number"] for r in engine.search("steel", "exact", page=2, page_size=1).results.collect()] == [188]
 
 
+def test_exact_with_index_equals_the_plain_search(corpus, index):
+    for q in ("steel", "ISO 4762", "olt nu", "absent text", "bolt, ", "is "):
+        with_index = exact.exact_matches(corpus.pages, corpus.documents, q, index).select("page_id").collect()
+        assert sorted(with_index) == sorted(exact.exact_matches(corpus.pages, corpus.documents, q).select("page_id").collect())
+
+
 def test_exact_counts(corpus, spark):
     needles = spark.createDataFrame([(1, "STEEL"), (2, "is"), (3, None), (4, "corrosion")], "term_id long, term string")
     assert dict(exact.exact_counts(corpus.pages, corpus.documents, needles).collect()) == {1: 2, 4: 2}
