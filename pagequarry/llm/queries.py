@@ -16,18 +16,16 @@ from pagequarry.sources.tables import table
 PAGES = {"k": 3, "t": 0.6, "min_words": 30}
 
 
-def _searchable_vectors(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "passages").select("embedding_id").filter("embedding_id is not null")
-    return table(spark, d, "passage_vectors").join(known, "embedding_id", "left_semi")
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.similar_vectors(table(spark, d, "passage_vectors"), among=table(spark, d, "passages").select("embedding_id"))
 
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.similar_vectors(_searchable_vectors(spark, d)).select(F.col("id").alias("embedding_id"), "neighbour", F.round("similarity", 3).alias("similarity"))
+    return _neighbours(spark, d).select(F.col("id").alias("embedding_id"), "neighbour", F.round("similarity", 3).alias("similarity"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    got = vectors.similar_vectors(_searchable_vectors(spark, d))
-    return got.select(F.least("id", "neighbour").alias("embedding_id_a"), F.greatest("id", "neighbour").alias("embedding_id_b")).distinct()
+    return _neighbours(spark, d).select(F.least("id", "neighbour").alias("embedding_id_a"), F.greatest("id", "neighbour").alias("embedding_id_b")).distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,4 +104,4 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_pages, p3_found, p3_repaired_pages, p4_found, p4_canonical, p5_found, p5_groups, p6_found, p6_passages, p7_ids, p8_containers, p8_fill, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_pages, p2_templates, p3_found, p3_repaired_pages, p4_found, p4_canonical, p5_found, p5_groups, p6_found, p6_passages, p7_ids, p8_containers, p8_fill, p8_certificate, p9_found, p9_restored)}

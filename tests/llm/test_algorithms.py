@@ -29,12 +29,13 @@ def clustered(n, dim=8, seed=3):
     return {i: (centres[i % len(centres)] + 0.25 * rng.normal(size=dim)).astype(np.float32) for i in range(n)}
 
 
-@pytest.mark.parametrize("shard_rows", [20_000, 7])
-def test_factor_one_is_exact(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows,most_vantage,task_rows", [(20_000, 8_192, 60_000), (7, 4, 60_000), (7, 4, 5), (20_000, 8_192, 9)])
+def test_factor_one_is_exact(spark, shard_rows, most_vantage, task_rows):
+    """Also with shards that are divided by vantage points of their own, and cells that several tasks search."""
     rows = clustered(150)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in rows.items()], "embedding_id long, embedding array<float>")
     got = {}
-    for r in vectors.similar_vectors(df, dim=8, factor=1.0, tree_factor=1.0, compact=False, shard_rows=shard_rows).collect():
+    for r in vectors.similar_vectors(df, dim=8, factor=1.0, tree_factor=1.0, compact=False, shard_rows=shard_rows, most_vantage=most_vantage, task_rows=task_rows).collect():
         got.setdefault(r["id"], []).append(r["similarity"])
     want = {i: [v for _, v in w] for i, w in brute_neighbours(rows, 5, 0.8).items() if w}
     assert got.keys() == want.keys()
