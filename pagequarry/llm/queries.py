@@ -37,6 +37,11 @@ def p2_clean_pages(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_lines(pages, lines.repeated_lines(pages, table(spark, d, "documents")))
 
 
+def p2_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Lines whose whole template repeats, such as bylines with changing names."""
+    return lines.repeated_templates(table(spark, d, "pages"), table(spark, d, "documents"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_noise(table(spark, d, "pages"), table(spark, d, "documents"))
 

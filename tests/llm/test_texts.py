@@ -40,33 +40,63 @@ def test_documents_are_counted_once_over_all_partitions(spark, tmp_path):
     assert lines.repeated_lines(pages, documents).count() == 0
     more = pages.unionByName(spark.createDataFrame([(200, 5, 1, line, "native")], PAGES))
     assert {r["page_id"] for r in lines.repeated_lines(more, documents).collect()} == {*range(60), 200}
-    counted = lines.line_templates(lines.page_lines(more, documents, 20), 6)
-    assert {r["norm"]: r["line_documents"] for r in counted.collect()}[line] == 6
 
 
-def test_lines_that_no_merged_template_matches_are_counted(spark):
-    """The trees of two partitions merge to a template with so many slots that a member's match is too weak."""
-
-    def part(first, words, page):
-        fixed = f"alpha beta gamma {words}"
-        vary = [f"{fixed} one two three four five", f"{fixed} six seven eight four five", f"{fixed} one two three nine five", f"{fixed} one two three four ten"]
-        rows = [(page + i, page + i, 1, x, "native") for i, x in enumerate([vary[0]] * first + vary[1:])]
-        return spark.createDataFrame(rows, PAGES).coalesce(1)
-
-    pages = part(6, "delta epsilon", 0).union(part(1, "omega sigma", 100))
-    rows = pages.select(F.lit("one").alias("source"), F.col("text").alias("norm"), "document_id")
-    line = "alpha beta gamma delta epsilon one two three four five"
-    got = {r["norm"]: (r["line_documents"], r["template"]) for r in lines.line_templates(rows, 6).collect()}
-    assert got[line] == (6, line)
-    assert not any(n.startswith("alpha beta gamma omega") for n in got)
+def test_merged_templates_lose_no_line(spark):
+    """The trees of many partitions merge to templates of many slots; every line of enough documents is still found, and no other."""
+    rng = random.Random(2)
+    rows = []
+    for c in range(48):
+        for v in range(6):
+            words_ = [f"start{c % 8}", "beta", "gamma", *(rng.choice("abcdefgh") + rng.choice(["x", f"q{c}"]) for _ in range(7))]
+            rows += [(len(rows) + i, len(rows) + i, 1, " ".join(words_) + " of the lines", "native") for i in range(rng.choice([2, 5, 6, 9]))]
+    pages = spark.createDataFrame(rows, PAGES).repartition(16, "page_id")
+    documents = spark.createDataFrame([(r[0], "one") for r in rows], "doc_id long, source string")
+    count = {}
+    for r in rows:
+        count.setdefault(r[3], set()).add(r[0])
+    want = {i for x, ids in count.items() if len(ids) >= 6 and sum(map(str.isalpha, x)) >= 20 for i in ids}
+    for broadcast in ("-1", "10485760"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        try:
+            assert {r["page_id"] for r in lines.repeated_lines(pages, documents).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_whole_templates(spark):
+    names = "anna bert carla dora emil fritz gerda hans".split()
+    rows = [(i, i, 1, f"Written and checked by our colleague {n} in the workshop\nA line of its own that is number {n * 9}", "native") for i, n in enumerate(names)]
+    pages = spark.createDataFrame(rows, PAGES)
+    documents = spark.createDataFrame([(i, "one") for i in range(8)], "doc_id long, source string")
+    got = lines.repeated_templates(pages, documents).collect()
+    assert {(r["page_id"], r["line_no"], r["template"]) for r in got if r["line_no"] == 1} == {(i, 1, "written and checked by our colleague <*> in the workshop") for i in range(8)}
+    assert lines.repeated_lines(pages, documents).count() == 0
 
 
 def test_templates_have_slots():
     leaf = lines.Leaf(0.6)
     for x in ("copy 0 of the sheet", "copy 0 of that sheet", "other words are not here"):
-        leaf.add(x.split())
+        leaf.add(x.split(), 1)
     assert leaf.templates == [["copy", "0", "of", lines.SLOT, "sheet"], ["other", "words", "are", "not", "here"]]
     assert leaf.match("copy 0 of every sheet".split()) == 0 and leaf.match("a b c d e".split()) is None
+    assert leaf.match(["copy", "of", lines.SLOT, lines.SLOT, lines.SLOT]) is None  # slots do not raise a match
+    assert leaf.covering("copy 0 of any sheet".split()) == 0 and leaf.covering("copy 1 of any sheet".split()) is None
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_weighted_edits_do_not_depend_on_partitions(spark, parts):
+    texts = ["bearing bearing bearing", "gasket gasket", "beаrng gаskett gаskеt", "zеbra", "bering bering", "Ꭺcid acid"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "page_id long, text string").repartition(parts)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["token"]: r["canonical"] for r in lookalikes.canonical_tokens(df, max_cost=1).collect()}
+        none = {r["token"]: r["canonical"] for r in lookalikes.canonical_tokens(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {"beаrng": "bearing", "gаskett": "gasket", "gаskеt": "gasket", "zеbra": "zebra", "Ꭺcid": "acid"}
+    assert none == got | {"beаrng": "bearng", "gаskett": "gaskett"}
 
 
 def noisy(text, rng):
