@@ -1,23 +1,21 @@
 """Problem 6: oversized items cut at natural boundaries.
 
-Method: byte-range processing. An item is read in ranges of ``range_chars``, each with a halo on both
-sides; a worker finds the natural boundaries that end within its range, counted in words from the
-range's start. The ranges' word counts are summed in order (prefix sums over a table of one row a
-range) and the boundary tables are stitched by adding them. Pieces are then chosen from the
-stitched table alone and their text is cut out by offset. ``file_ranges`` reads the same ranges out of
-files, so that no task ever holds a whole giant file.
+Method: byte-range processing. An item, be it a text or a giant file, is taken in ranges, each with a halo on both sides; a worker finds the natural
+boundaries that end within its range, counted in words from the range's start. A halo that holds no settled context is widened until it does (see
+``settled_range``), so that ranges give what the whole item would. The ranges' word counts are summed in order (prefix sums over a table of one row a
+range); pieces are chosen from this stitched table alone, as it streams by, and each range then emits its parts of the pieces by offset. No task holds a whole file.
 
 Words are the maximal runs of characters without U+0020 and line feed. Defined results: null and empty
 texts and items of at most ``max_words`` words give no boundary rows (they need no cutting); the
-end of the text is always a boundary; rows delivered twice give the same rows once.
+end of the text is always a boundary; rows delivered twice give the same rows once. A line longer than the halo widens the left halos of the ranges within it to the
+line's start, since its kind shows there. Bytes that are no UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
 
-import os
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.frames import objects, records
+from pagequarry.session import partitions_for, shuffle_partitions
+from pagequarry.sources.files import open_file
 
 # Usual abbreviations of the corpus languages (en, de, fr, es, ru), without their last full stop.
 ABBREVIATIONS = frozenset(
@@ -37,6 +37,7 @@ ABBREVIATIONS = frozenset(
 _WORD = re.compile(r"[^ \n]+")
 _HEADING = re.compile(r"^\s*(?:\d{1,2}(?:\.\d{1,2})+\.?|[A-Z]\.\d+|§ ?\d+)\s+[^\W\d_]{3,}[^,;:.!?]*$")
 _BULLET = re.compile(r"^\s*(?:[•‣▪●◦*·\-–—]|\(?\d{1,3}[.)]|\(?[a-zA-Zа-я][)])(?= |$)")
+_HEADING_START = re.compile(r"^\s*(?:\d{1,2}\.|[A-Z]\.\d|§)")
 _CLOSERS = "\"'”’»“)]}›"
 _OPENERS = "\"'“„«‹([{¿¡"
 
@@ -61,10 +62,10 @@ def _continues(line: str) -> bool:
     return bool(line) and line.lstrip(_OPENERS)[:1].islower()
 
 
-def boundaries(text: str, start: int = 0, end: int | None = None, at_start: bool = True, at_end: bool = True) -> tuple[int, list[int]]:
+def boundaries(text: str, start: int = 0, end: int | None = None, at_end: bool = True) -> tuple[int, list[int]]:
     """Words that begin within [start, end) and, counted from 1 among them, those that end at a natural boundary.
 
-    ``text`` may be a range with its halos; at_start and at_end tell whether it reaches the item's ends.
+    ``text`` may be a range with settled halos; at_end tells whether it reaches the item's end.
     """
     end = len(text) if end is None else end
     lines, at = [], 0
@@ -114,59 +115,118 @@ def boundaries(text: str, start: int = 0, end: int | None = None, at_start: bool
     return n, found
 
 
-def text_ranges(df: DataFrame, key: str, text: str, range_chars: int, halo: int) -> DataFrame:
-    """(key, range, start, end, part, first, last): one row for each range of each text; part includes the halos."""
-    n = F.length("text")
-    ranges = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / range_chars)).cast("int"))).alias("range")
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(n > 0).select("key", "text", n.alias("n"), ranges)
-    begin = F.greatest(F.lit(0), F.col("range") * range_chars - halo)
-    stop = F.least(F.col("n"), (F.col("range") + 1) * range_chars + halo)
-    return rows.select(
-        "key", "range", (F.col("range") * range_chars - begin).cast("int").alias("start"), (F.least(F.col("n"), (F.col("range") + 1) * range_chars) - begin).cast("int").alias("end"),
-        F.substring("text", (begin + 1).cast("int"), (stop - begin).cast("int")).alias("part"), (begin == 0).alias("first"), (stop == F.col("n")).alias("last"),
-    )
-
-
-def file_ranges(spark: SparkSession, paths: list[str], range_bytes: int = 1 << 20, halo: int = 4096) -> DataFrame:
-    """The same rows out of UTF-8 files on a shared folder: each task seeks to its ranges, none reads a whole file.
-
-    Ranges are byte offsets; a range begins and ends at the first whole character at or after them.
+def settled_start(text: str, at: int, whole: bool) -> int | None:
+    """The last line start at or before ``at`` from which a reading goes on as one from the item's start would; null if none is there.
+
+    Blank lines, numbered items and lines that begin neither like an item or a heading nor in lower case are what they are whatever comes before.
     """
-    jobs = [(p, i) for p in paths for i in range(max(1, -(-os.path.getsize(p) // range_bytes)))]
-    plan = spark.createDataFrame(jobs, "key string, range int").repartition(max(1, min(len(jobs), 1000)), "key", "range")
+    while True:
+        begin = text.rfind("\n", 0, at) + 1
+        if begin == 0 and not whole:
+            return None
+        end = text.find("\n", begin)
+        line = text[begin : len(text) if end < 0 else end]
+        bullet = _BULLET.match(line)
+        plain = not bullet and not _HEADING_START.match(line) and not _continues(line)
+        if begin == 0 or not line.strip() or plain or bullet and line.lstrip()[0] not in "-–—·*" and not line.lstrip()[0].isupper():
+            return begin
+        at = begin - 1
+
+
+def settled_end(text: str, end: int) -> bool:
+    """Whether ``text`` goes on far enough after ``end``: to the next whole word, and to the end of its line or so far that this can be no heading."""
+    at = end
+    while at < len(text) and at > 0 and text[at - 1] not in " \n" and text[at] not in " \n":
+        at += 1
+    following = _WORD.search(text, at)
+    if following is None or following.end() == len(text):
+        return False
+    line = text.rfind("\n", 0, following.start()) + 1
+    return "\n" in text[following.end() :] or len(text[line:].split()) > 9
+
+
+def settled_range(read: Callable[[int, int, int, int], tuple[str, int, int]], size: int, lo: int, hi: int, halo: int) -> tuple[str, int, int, bool]:
+    """(part, start, end, at_end) of the range [lo, hi) with settled halos. ``read`` gives the text of [a, b) and where lo and hi are in it."""
+    left = right = halo
+    while True:
+        a, b = max(0, lo - left), min(size, hi + right)
+        part, start, end = read(a, lo, hi, b)
+        s, far = settled_start(part, start, a == 0), b == size or settled_end(part, end)
+        if s is not None and far:
+            return part[s:], start - s, end - s, b == size
+        left, right = left * (1 + (s is None)), right * (2 - far)
+
+
+def _in_text(text: str) -> Callable[[int, int, int, int], tuple[str, int, int]]:
+    return lambda a, lo, hi, b: (text[a:b], lo - a, hi - a)
+
+
+def _in_file(file) -> Callable[[int, int, int, int], tuple[str, int, int]]:
+    """Reads UTF-8 by byte offsets; every offset stands for the first whole character at or after it."""
 
     def whole(raw: bytes, at: int) -> int:
         while at < len(raw) and raw[at] & 0xC0 == 0x80:
             at += 1
         return at
 
+    def read(a: int, lo: int, hi: int, b: int) -> tuple[str, int, int]:
+        file.seek(a)
+        raw = file.read(b - a + 4)
+        at = [whole(raw, x - a) for x in (a, lo, hi, b)]
+        pre, mid, post = (raw[x:y].decode("utf-8", "replace") for x, y in zip(at, at[1:]))
+        return pre + mid + post, len(pre), len(pre) + len(mid)
+
+    return read
+
+
+RANGE = "range int, n int, found array<int>"
+
+
+def text_ranges(df: DataFrame, key: str, text: str, range_chars: int, halo: int) -> DataFrame:
+    """(key, range, n, found): words of each range of each text, and those that end at a boundary. A map without a shuffle."""
+    kind = df.schema[key].dataType.simpleString()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for p, r in zip(b["key"], b["range"]):
-                size = os.path.getsize(p)
-                lo, hi = max(0, r * range_bytes - halo), min(size, (r + 1) * range_bytes + halo)
-                with open(p, "rb") as f:
-                    f.seek(lo)
-                    raw = f.read(hi - lo + 4)
-                a, s, e, z = whole(raw, 0), whole(raw, r * range_bytes - lo), whole(raw, min(size, (r + 1) * range_bytes) - lo), whole(raw, hi - lo)
-                pre, mid, post = (raw[x:y].decode("utf-8", "replace") for x, y in ((a, s), (s, e), (e, z)))
-                out.append((p, r, len(pre), len(pre) + len(mid), pre + mid + post, lo == 0, hi == size))
-            yield records(out, ["key", "range", "start", "end", "part", "first", "last"])
+            rows = []
+            for k, x in zip(b["key"], b["text"]):
+                for i, lo in enumerate(range(0, len(x), range_chars)):
+                    part, start, end, at_end = settled_range(_in_text(x), len(x), lo, min(len(x), lo + range_chars), halo)
+                    rows.append((k, i, *boundaries(part, start, end, at_end)))
+            yield records(rows, ["key", "range", "n", "found"])
 
-    return plan.mapInPandas(run, "key string, range int, start int, end int, part string, first boolean, last boolean")
+    rows = df.filter(F.length(text) > 0).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, f"key {kind}, {RANGE}")
 
 
-def natural_boundaries(ranges: DataFrame, key: str) -> DataFrame:
-    """(key, word_end long): the stitched boundary table of all items, in words from the item's start."""
-    kind = ranges.schema["key"].dataType.simpleString()
+def planned_ranges(spark: SparkSession, paths: list[str], range_bytes: int) -> DataFrame:
+    """(key, size, range): the ranges of the files under ``paths``, listed through Spark's file system and spread over the tasks."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(F.col("path").alias("key"), F.col("length").alias("size"))
+    ranges = files.select("key", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / range_bytes)).cast("int"))).alias("range"))
+    return ranges.repartition(partitions_for(spark, ranges.count(), 64), "key", "range")
+
+
+def _each_range(b: pd.DataFrame, range_bytes: int, halo: int) -> Iterator[tuple[int, tuple[str, int, int, bool]]]:
+    for i, (path, size, r) in enumerate(zip(b["key"], b["size"], b["range"])):
+        with open_file(path) as file:
+            lo = int(r) * range_bytes
+            yield i, settled_range(_in_file(file), int(size), lo, min(int(size), lo + range_bytes), halo)
+
+
+def file_ranges(ranges: DataFrame, range_bytes: int, halo: int) -> DataFrame:
+    """The same rows for ``planned_ranges``: each task seeks to its ranges, none reads a whole file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [boundaries(*x) for x in zip(b["part"], b["start"], b["end"], b["first"], b["last"])]
+            got = [boundaries(*x) for _, x in _each_range(b, range_bytes, halo)]
             yield objects({"key": b["key"], "range": b["range"], "n": [n for n, _ in got], "found": [f for _, f in got]})
 
-    table = ranges.mapInPandas(run, f"key {kind}, range int, n int, found array<int>").dropDuplicates(["key", "range"])
+    return ranges.mapInPandas(run, f"key string, {RANGE}")
+
+
+def natural_boundaries(ranges: DataFrame, key: str) -> DataFrame:
+    """(key, word_end long): the stitched boundary table of all items, in words from the item's start."""
+    table = ranges.dropDuplicates(["key", "range"])
     before = F.coalesce(F.sum(F.col("n").cast("long")).over(W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ends = table.withColumn("before", before).select("key", "before", F.explode("found").alias("within"))
     return ends.select(F.col("key").alias(key), (F.col("before") + F.col("within")).alias("word_end")).distinct()
@@ -181,32 +241,125 @@ def item_boundaries(df: DataFrame, key: str = "page_id", text: str = "text", max
     return natural_boundaries(text_ranges(oversized(df, text, max_words), key, text, range_chars, halo), key)
 
 
-def cut_points(ends: list[int], max_words: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of pieces of at most ``max_words``: each ends at the last boundary in reach, at the limit where there is none."""
-    out, start, total = [], 0, ends[-1] if ends else 0
-    while start < total:
-        limit = min(start + max_words, total)
-        k = bisect_right(ends, limit) - 1
-        end = ends[k] if k >= 0 and ends[k] > start + overlap else limit
-        out.append((start, end))
-        if end == total:
-            break
-        start = max(start + 1, end - overlap)
-    return out
+class Cutter:
+    """Chooses the pieces of one item while its ranges stream by in order; it holds only what the open piece reaches back to.
+
+    A piece ends at the last boundary within ``max_words`` that leaves more than the overlap, or at the limit where there is none; the next one
+    begins ``overlap`` words before that end.
+    """
+
+    def __init__(self, max_words: int, overlap: int):
+        self.max_words, self.overlap = max_words, overlap
+        self.seen, self.begin, self.ordinal, self.last = 0, 0, 0, 0
+        self.ends: deque[int] = deque()  # boundaries that the open piece may end at
+        self.ranges: deque[tuple[int, int, int]] = deque()  # (range, words before it, words before the next) that it reaches
+
+    def push(self, number: int, words: int, found: list[int]) -> Iterator[tuple]:
+        self.ranges.append((number, self.seen, self.seen + words))
+        self.ends.extend(self.seen + f for f in found)
+        self.seen += words
+        while self.seen >= self.begin + self.max_words:
+            yield from self._piece(self.begin + self.max_words)
+
+    def finish(self) -> Iterator[tuple]:
+        while self.last < self.seen:
+            yield from self._piece(min(self.seen, self.begin + self.max_words))
+
+    def _piece(self, limit: int) -> Iterator[tuple]:
+        """(range, ordinal, word_start, word_end, lo, hi): the piece that begins now, once for each range that it lies in."""
+        end = limit
+        while self.ends and self.ends[0] <= limit:
+            e = self.ends.popleft()
+            end = e if e > self.begin + self.overlap else limit
+        for number, lo, hi in self.ranges:
+            if max(lo, self.begin) < min(hi, end):
+                yield number, self.ordinal, self.begin, end, max(self.begin, lo) - lo, min(end, hi) - lo
+        self.last, self.ordinal, self.begin = end, self.ordinal + 1, max(self.begin + 1, end - self.overlap)
+        while self.ranges and self.ranges[0][2] <= self.begin:
+            self.ranges.popleft()
+
+
+PLACE = "ordinal int, word_start long, word_end long, lo int, hi int"
+
+
+def cut_ranges(ranges: DataFrame, max_words: int, overlap: int) -> DataFrame:
+    """(key, range, places): where the pieces of all items lie in their ranges, places as array of structs. Only counts and boundaries are shuffled."""
+    kind = ranges.schema["key"].dataType.simpleString()
+    names = ["key", "range", *(x.split(" ")[0] for x in PLACE.split(", "))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, cutter, last = None, Cutter(max_words, overlap), None
+        for b in batches:
+            rows = []
+            for k, r, n, found in zip(b["key"], b["range"], b["n"], b["found"]):
+                if k != key or last is None:
+                    rows += [(key, *p) for p in cutter.finish()]
+                    key, cutter, last = k, Cutter(max_words, overlap), -1
+                if r != last:  # a row delivered twice
+                    rows += [(key, *p) for p in cutter.push(r, n, found)]
+                    last = r
+            yield records(rows, names)
+        yield records([(key, *p) for p in cutter.finish()], names)
+
+    ordered = ranges.repartition(shuffle_partitions(ranges.sparkSession), "key").sortWithinPartitions("key", "range")
+    pieces = ordered.mapInPandas(run, f"key {kind}, range int, {PLACE}")
+    return pieces.groupBy("key", "range").agg(F.collect_list(F.struct(*names[2:])).alias("places"))
+
+
+def _parts(rows: list[tuple[object, int, list[str], list]]) -> pd.DataFrame:
+    """What ranges, given as (key, range, own words, places), have of their pieces."""
+    out = [(k, p["ordinal"], p["word_start"], p["word_end"], r, " ".join(words[p["lo"] : p["hi"]])) for k, r, words, places in rows for p in places]
+    return records(out, ["key", "ordinal", "word_start", "word_end", "range", "part"])
+
+
+PARTS = "ordinal int, word_start long, word_end long, range int, part string"
+
+
+def _own_words(part: str, start: int, end: int) -> list[str]:
+    return [m.group() for m in _WORD.finditer(part) if start <= m.start() < end]
+
+
+def _whole_pieces(parts: DataFrame, key: str) -> DataFrame:
+    """Pieces out of the few ranges that each lies in, put together in order."""
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("range", "part"))), lambda p: p["part"]), " ")
+    return parts.groupBy("key", "ordinal", "word_start", "word_end").agg(text.alias("text")).select(F.col("key").alias(key), "ordinal", "word_start", "word_end", "text")
 
 
 def split_items(df: DataFrame, key: str = "page_id", text: str = "text", max_words: int = 260, overlap: int = 40, range_chars: int = 65_536, halo: int = 2_048) -> DataFrame:
     """(key, ordinal, word_start, word_end, text) of every piece of every oversized item; rows of one key must have one text."""
     big = oversized(df, text, max_words)
-    table = natural_boundaries(text_ranges(big, key, text, range_chars, halo), key)
-    kind = table.schema[key].dataType.simpleString()
-    ends = table.groupBy(key).agg(F.sort_array(F.collect_list(F.col("word_end").cast("int"))).alias("ends"))
+    places = cut_ranges(text_ranges(big, key, text, range_chars, halo), max_words, overlap)
+    kind = df.schema[key].dataType.simpleString()
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, x in zip(b["key"], b["text"]):
+                for i, lo in enumerate(range(0, len(x), range_chars)):
+                    hi = min(len(x), lo + range_chars)
+                    a, z = x.rfind("\n", 0, lo) + 1, hi
+                    a = max(a, x.rfind(" ", 0, lo) + 1)
+                    while z < len(x) and x[z] not in " \n":
+                        z += 1
+                    rows.append((k, i, " ".join(_own_words(x[a:z], lo - a, hi - a))))
+            yield records(rows, ["key", "range", "words"])
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield _parts([(k, r, w.split(" "), p) for k, r, w, p in zip(b["key"], b["range"], b["words"], b["places"])])
+
+    own = big.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(words, f"key {kind}, range int, words string").dropDuplicates(["key", "range"])
+    return _whole_pieces(own.join(places, ["key", "range"]).mapInPandas(emit, f"key {kind}, {PARTS}"), key)
+
+
+def split_files(spark: SparkSession, paths: list[str], max_words: int = 260, overlap: int = 40, range_bytes: int = 1 << 20, halo: int = 4_096) -> DataFrame:
+    """(path, ordinal, word_start, word_end, text): the pieces of UTF-8 files on a file system that all tasks reach. Each range is read twice, by offset."""
+    ranges = planned_ranges(spark, paths, range_bytes)
+    places = cut_ranges(file_ranges(ranges, range_bytes, halo), max_words, overlap)
 
-    def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, i, s, e) for k, x in zip(b[key], b["ends"]) for i, (s, e) in enumerate(cut_points(list(x), max_words, overlap))]
-            yield records(rows, [key, "ordinal", "word_start", "word_end"])
+            for i, (part, start, end, _) in _each_range(b, range_bytes, halo):
+                yield _parts([(b["key"].iloc[i], int(b["range"].iloc[i]), _own_words(part, start, end), b["places"].iloc[i])])
 
-    pieces = ends.mapInPandas(cuts, f"{key} {kind}, ordinal int, word_start int, word_end int")
-    words = big.select(key, F.filter(F.split(text, "[ \n]+"), lambda w: w != "").alias("_words")).dropDuplicates([key])
-    return pieces.join(words, key).select(key, "ordinal", "word_start", "word_end", F.array_join(F.slice("_words", F.col("word_start") + 1, F.col("word_end") - F.col("word_start")), " ").alias("text"))
+    return _whole_pieces(ranges.join(places, ["key", "range"]).mapInPandas(emit, f"key string, {PARTS}"), "path")
