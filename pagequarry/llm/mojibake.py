@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.frames import objects, records
-from pagequarry.session import cut
+from pagequarry.session import broadcast_if_small, cut
 
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac_roman", "koi8_r")
 MEANT = ("cp1252", "cp1251", "koi8_r", "cp866")
@@ -247,6 +247,7 @@ def damaged_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text"
     tokens = tokens_beyond_ascii(documents, key, text)
     kind = documents.schema[key].dataType.simpleString()
     maybe, common = candidates(tokens, **options)
+    maybe = broadcast_if_small(cut(maybe), 50_000)  # then no token but those of damaged words leaves its task; beyond, adaptive execution divides hot words
     shared = tokens.sparkSession.sparkContext.broadcast(common)
     hits = tokens.join(maybe, "word").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "word", "options"))).alias("hits"))
 
@@ -278,7 +279,7 @@ def _lost(hit) -> str | None:
 def restore(documents: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, text, n_damaged, n_restored): every document; only the damaged ones are written anew."""
     kind = documents.schema[key].dataType.simpleString()
-    bad = damaged_tokens(documents, key, text, **options)
+    bad = broadcast_if_small(cut(damaged_tokens(documents, key, text, **options)), 20_000)  # then no text is shuffled
     rows = documents.select(key, F.col(text).alias("text"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
