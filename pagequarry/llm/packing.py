@@ -3,8 +3,8 @@
 Method: bound-certified repacking. Items go to partitions by hash; each partition packs its items by
 best-fit decreasing and certifies its number of containers by a lower bound from dual-feasible
 functions. Partitions whose count exceeds the bound give up the documents of their loose containers;
-these are exchanged among ``fan_in`` partitions and packed again, for ``rounds`` rounds. Only ids
-and sizes move; a partition holds at most about ``per_partition`` items whatever the input.
+these are exchanged: they are spread anew over as many partitions as they need, and packed again, for ``rounds`` rounds. Only ids
+and sizes move; a partition holds about ``per_partition`` items whatever the input. ``certificate`` holds the result against a bound for all items together.
 
 Defined results: null and empty texts have size 0 and go into container null with piece 0, as they
 need no room; a text over the capacity is divided into full pieces and a rest, all others stay whole; repeated
@@ -52,14 +52,16 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers that any packing needs: the best of the plain sum and of the step functions with threshold e.
+    return bound_of_counts(np.bincount(sizes, minlength=capacity + 1), capacity) if len(sizes) else 0
+
+
+def bound_of_counts(counts: np.ndarray, capacity: int) -> int:
+    """Containers that any packing of ``counts[s]`` items of each size s needs: the best of the plain sum and of the step functions with threshold e.
 
     For 0 < e <= capacity / 2 the function maps sizes over capacity - e to the capacity, sizes under e to 0
     and keeps the others; it is dual feasible, so the mapped sum over the capacity bounds the count.
     """
-    if not len(sizes):
-        return 0
-    h = np.bincount(sizes, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    h = counts[: capacity + 1].astype(np.int64)
     x = np.arange(capacity + 1)
     count, total = np.cumsum(h), np.cumsum(h * x)
     e = np.arange(1, capacity // 2 + 1)
@@ -80,27 +82,35 @@ def _pack(pdf: pd.DataFrame, capacity: int, slack: int) -> pd.DataFrame:
     return pdf.assign(container=c, loose=loose)
 
 
-def pack_sizes(items: DataFrame, capacity: int, per_partition: int = 100_000, rounds: int = 2, fan_in: int = 8, slack_share: float = 0.002) -> DataFrame:
+def pack_sizes(items: DataFrame, capacity: int, per_partition: int = 5_000, rounds: int = 2, slack_share: float = 0.002) -> DataFrame:
     """items: (key, piece int, size int). Adds ``container``, a string that is unique over all rounds."""
     key = items.columns[0]
     kind = items.schema[key].dataType.simpleString()
-    n = items.count()
-    parts = max(1, -(-n // per_partition))
     slack = int(capacity * slack_share)
     schema = f"{key} {kind}, piece int, size int, part long, container long, loose boolean"
-    left = items.withColumn("part", F.pmod(F.xxhash64(key, "piece"), F.lit(parts)))
-    done: DataFrame | None = None
+    left, done = items, None
     for r in range(rounds + 1):
-        packed = cut(left.groupBy("part").applyInPandas(lambda pdf: _pack(pdf, capacity, slack), schema))
+        parts = max(1, -(-left.count() // per_partition))
+        # repeated keys are told apart by nothing, so that they may share a partition; that does no harm
+        placed = left.withColumn("part", F.pmod(F.xxhash64(key, "piece", F.lit(r)), F.lit(parts)))
+        packed = cut(placed.groupBy("part").applyInPandas(lambda pdf: _pack(pdf, capacity, slack), schema))
         last = r == rounds
         kept = packed if last else packed.filter(~F.col("loose"))
         kept = kept.select(key, "piece", "size", F.concat_ws("-", F.lit(r), "part", "container").alias("container"))
         done = kept if done is None else done.unionByName(kept)
-        if not last:
-            left = packed.filter("loose").select(key, "piece", "size", F.floor(F.col("part") / fan_in).cast("long").alias("part"))
+        left = packed.filter("loose").select(key, "piece", "size")
     return done
 
 
+def certificate(packed: DataFrame, capacity: int = 2048, size: str = "n_tokens") -> DataFrame:
+    """(containers, bound): how many containers were filled, and how many any packing of the same pieces needs. One row."""
+    rows = packed.filter(F.col("container").isNotNull())
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in rows.groupBy(size).agg(F.count("*").alias("n")).collect():  # at most one row a size
+        counts[r[size]] = r["n"]
+    return rows.agg(F.count_distinct("container").alias("containers")).withColumn("bound", F.lit(bound_of_counts(counts, capacity)).cast("long"))
+
+
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 2048, path: str = VOCABULARY, **options) -> DataFrame:
     """(key, piece, token_start, n_tokens, container) of each document, or of each piece of one over the capacity."""
     sizes = count_tokens(df, key, text, path)
