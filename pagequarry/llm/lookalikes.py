@@ -1,11 +1,13 @@
 """Problem 4: text that looks the same, in one form.
 
 Method: vocabulary tries and a weighted edit automaton. The distinct tokens of the corpus are divided
-into clean ones (one script, composed, nothing invisible) and others. Tokens are partitioned by a coarse skeleton,
-under which all look-alikes fall together; each partition holds a trie of its clean tokens, which the automaton
-traverses with each other token: look-alike characters and ignorables cost nothing, every other edit costs 1.
-The cheapest spelling (then the most frequent) within ``max_cost`` becomes the canonical one; a token without a match is
-normalised by table. Pages without any suspicious character need no lookup at all.
+into clean ones (one script, composed, nothing invisible) and others. Tokens meet by a coarse skeleton,
+under which all look-alikes fall together, and for costs above 0 by all forms of it with that many characters left out, which
+any two tokens of that distance share. The clean tokens that meet others form a trie, which the automaton
+traverses with each of these: look-alike characters and ignorables cost nothing, every other edit costs 1.
+The cheapest spelling (then the most frequent, then the last in order) within ``max_cost`` becomes the canonical one, however the tokens are partitioned; a token
+without a match is normalised by table. Terms are found at cost 0, since a visible letter tells them apart.
+Pages without any suspicious character need no lookup at all.
 
 Defined results: null text stays null; empty text stays empty; runs of white space of any kind count as one space;
 an empty table gives an empty table.
@@ -28,9 +30,10 @@ from pagequarry.session import shuffle_partitions
 # Letters of other scripts that look like Latin ones, each followed by its look-alike.
 CYRILLIC = "АA ВB ЕE ІI ЈJ КK МM НH ОO РP ЅS СC ТT УY ХX ԚQ ԜW аa сc ԁd еe һh іi јj ӏl оo рp ԛq ѕs уy хx ѵv ԝw"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC αa ιi νv οo ρp υu ϲc"
+OTHER = "օo սu հh ոn ՕO ՍU ՏS ԼL ᎪA ᏴB ᏟC ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏚS ᎢT ᏙV ᏃZ ɑa ɡg"
 MARKS = "’' ‘' ʼ' ′' `' ´' ‐- ‑- −- ﹣-"
 
-TO_LATIN = {p[0]: p[1] for p in f"{CYRILLIC} {GREEK}".split()}
+TO_LATIN = {p[0]: p[1] for p in f"{CYRILLIC} {GREEK} {OTHER}".split()}
 TO_CYRILLIC = {p[1]: p[0] for p in CYRILLIC.split()}
 _MARKS = {ord(p[0]): p[1] for p in MARKS.split()}
 #: the same white space for Python and for Spark
@@ -77,9 +80,9 @@ def by_table(token: str) -> str:
     """A token's form by table: letters go over to Latin, or to Cyrillic if it has letters of Cyrillic alone and its Latin ones can."""
     b = bare(token)
     letters = [c for c in b if c.isalpha()]
-    foreign = [c for c in letters if "\u0370" <= c <= "\u052f"]
+    foreign = [c for c in letters if "\u0370" <= c <= "\u052f" or c in TO_LATIN]
     if foreign:
-        latin = [c for c in letters if c < "\u0250"]
+        latin = [c for c in letters if c < "\u0250" and c not in TO_LATIN]
         alone = any(c not in TO_LATIN for c in foreign)
         if not alone:
             b = "".join(TO_LATIN.get(c, c) for c in b)
@@ -120,8 +123,8 @@ class Trie:
         if "" not in node or node[""] < (weight, spelling):
             node[""] = (weight, spelling)
 
-    def nearest(self, token: str, max_cost: int = 0) -> str | None:
-        """The cheapest, then most frequent spelling within max_cost of the token."""
+    def nearest(self, token: str, max_cost: int = 0) -> tuple[int, int, str] | None:
+        """(cost, weight, spelling) of the cheapest, then most frequent spelling within max_cost of the token."""
         states: list[tuple[int, dict]] = self._grow([(0, self.root)], max_cost)
         for c in bare(token):
             forms = {"".join(x) for x in (looks(c))}
@@ -141,8 +144,8 @@ class Trie:
             states = self._grow(step, max_cost)
             if not states:
                 return None
-        ends = [(cost, -n[""][0], n[""][1]) for cost, n in states if "" in n]
-        return min(ends)[2] if ends else None
+        ends = [(cost, *n[""]) for cost, n in states if "" in n]
+        return min(ends, key=lambda e: (e[0], -e[1], [-ord(c) for c in e[2]])) if ends else None
 
     def _grow(self, states: list[tuple[int, dict]], max_cost: int) -> list[tuple[int, dict]]:
         """The states reached besides by insertions, the cheapest of each node."""
@@ -158,6 +161,14 @@ class Trie:
         return list(best.values())
 
 
+def shortened(key: str, most: int) -> set[str]:
+    """``key`` and what is left of it without up to ``most`` characters. Two keys of edit distance up to ``most`` share one of these forms."""
+    forms = {key}
+    for _ in range(most):
+        forms |= {x[:i] + x[i + 1 :] for x in forms for i in range(len(x))}
+    return forms
+
+
 def canonical_tokens(texts: DataFrame, text: str = "text", extra: DataFrame | None = None, max_cost: int = 0) -> DataFrame:
     """(token, canonical) for each distinct suspicious token. ``extra`` has a column ``token`` of spellings preferred to all others."""
     words = texts.select(F.explode(F.split(F.col(text), SPACES)).alias("token")).filter("token <> ''")
@@ -171,31 +182,33 @@ def canonical_tokens(texts: DataFrame, text: str = "text", extra: DataFrame | No
             out = []
             for t, w in zip(b["token"], b["weight"]):
                 if not odd.search(t):
-                    out.append((t.casefold(), t, w, True))
+                    key, clean = t.casefold(), True
                 else:
-                    form = by_table(t)
-                    out.append((skeleton(t), t, w, form == t.casefold()))
+                    key, clean = skeleton(t), by_table(t) == t.casefold()
+                out += [(k, t, w, clean) for k in (shortened(key, max_cost) if max_cost else (key,))]
             yield records(out, ["skeleton", "token", "weight", "clean"])
 
     sorted_ = counts.mapInPandas(sort_out, "skeleton string, token string, weight long, clean boolean")
     parts = shuffle_partitions(texts.sparkSession)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by skeleton, clean ones first; look-alikes share a skeleton, so a finished skeleton's trie can go."""
+        """Rows come sorted by skeleton, clean ones first; a finished skeleton's trie can go."""
         at, trie = None, Trie()
         for b in batches:
-            tokens, forms = [], []
+            out = []
             for s, t, w, clean in zip(b["skeleton"], b["token"], b["weight"], b["clean"]):
-                if s != at and max_cost == 0:
+                if s != at:
                     at, trie = s, Trie()
                 if clean:
                     trie.add(_close(t), w)
                 else:
-                    tokens.append(t)
-                    forms.append(trie.nearest(t, max_cost) or by_table(t))
-            yield objects({"token": tokens, "canonical": forms})
+                    out.append((t, *(trie.nearest(t, max_cost) or (max_cost + 1, 0, by_table(t)))))
+            yield records(out, ["token", "cost", "weight", "canonical"])
 
-    return sorted_.repartition(parts, "skeleton").sortWithinPartitions("skeleton", F.desc("clean")).mapInPandas(match, "token string, canonical string")
+    met = sorted_.repartition(parts, "skeleton").sortWithinPartitions("skeleton", F.desc("clean")).mapInPandas(match, "token string, cost int, weight long, canonical string")
+    if max_cost:  # a token met others under several forms
+        met = met.groupBy("token").agg(F.max_by("canonical", F.struct(-F.col("cost"), "weight", "canonical")).alias("canonical"))
+    return met.select("token", "canonical")
 
 
 def _apply(text: str, forms: dict[str, str]) -> str:
