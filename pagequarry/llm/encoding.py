@@ -1,8 +1,8 @@
 """Problem 7: token ids of a whole corpus by a public tokenizer.
 
 Method: the tokenizers library over Arrow batches, one tokenizer per Python worker. Byte-level
-vocabularies write bytes as printable characters; ``byte_table`` gives that mapping and
-``decode_ids`` reverses it, so characters whose bytes are split over several tokens come back whole.
+vocabularies write bytes as printable characters; ``byte_table`` gives that mapping, and ``decode`` and ``offsets``
+reverse it for whole tables, so characters whose bytes are split over several tokens come back whole.
 
 Defined results: null and empty text give an empty list; special tokens' strings in a text are
 ordinary text; repeated rows and null keys are passed on as they are; an empty table gives an empty
@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,19 +47,53 @@ def byte_table() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def token_bytes(path: str = VOCABULARY) -> list[bytes]:
+    """The bytes of every id, made once per process."""
+    key = f"{path} bytes"
+    if key not in _loaded:
+        t, back = tokenizer(path), {c: b for b, c in byte_table().items()}
+        special = {i for i, x in t.get_added_tokens_decoder().items()}
+        names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size(with_added_tokens=True))]
+        _loaded[key] = [x.encode() if i in special else bytes(back[c] for c in x) for i, x in enumerate(names)]
+    return _loaded[key]
+
+
 def decode_ids(ids: list[int], path: str = VOCABULARY, errors: str = "replace") -> str:
-    """The text of ``ids``: token strings are mapped back to bytes and only their whole is decoded."""
-    t, back = tokenizer(path), {c: b for b, c in byte_table().items()}
-    return bytes(back[c] for i in ids for c in t.id_to_token(i)).decode("utf-8", errors)
+    """The text of ``ids``: tokens are mapped back to bytes and only their whole is decoded."""
+    table = token_bytes(path)
+    return b"".join([table[i] for i in ids]).decode("utf-8", errors)
+
+
+def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = VOCABULARY) -> DataFrame:
+    """(key, text) for each row of ids; null ids give the empty text, bytes that are no UTF-8 U+FFFD. A map over Arrow batches."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode_ids(x or [], path) for x in b.column(1).to_pylist()], pa.string())], ["key", "text"])
+
+    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+
+
+def offsets(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = VOCABULARY) -> DataFrame:
+    """(key, ends array<long>): the byte of the text's UTF-8 form at which each token ends; it begins where the one before ends. A map over Arrow batches."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.array([len(x) for x in token_bytes(path)], np.int64)
+        for b in batches:
+            ends = [np.cumsum(width[np.array(x or [], np.int64)]) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ends, pa.list_(pa.int64()))], ["key", "ends"])
+
+    return df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, ends array<long>").withColumnRenamed("key", key)
 
 
 def byte_offsets(text: str, ids: list[int], path: str = VOCABULARY) -> list[tuple[int, int]]:
-    """Start and end byte of each token in the UTF-8 form of ``text``."""
-    t, at, out = tokenizer(path), 0, []
+    """Start and end byte of each token in the UTF-8 form of one ``text``; ids of another text are an error."""
+    table, at, out = token_bytes(path), 0, []
     for i in ids:
-        n = len(t.id_to_token(i))  # one character for each byte
-        out.append((at, at + n))
-        at += n
+        out.append((at, at + len(table[i])))
+        at = out[-1][1]
     if at != len(text.encode("utf-8", "surrogatepass")):
         raise ValueError("these ids are not of this text")
     return out

@@ -43,7 +43,7 @@ def p2_templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return scans.scan_noise(table(spark, d, "pages"), table(spark, d, "documents"))
+    return scans.scan_noise(table(spark, d, "pages"), table(spark, d, "documents")).select("page_id", "line_no", "kind", "word").distinct()
 
 
 def p3_repaired_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +90,15 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
 
+def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, n_bytes, equal): every document encoded and decoded again, with the byte at which its last token ends."""
+    docs = table(spark, d, "documents")
+    ids = cut(encoding.encode(docs))
+    ends = encoding.offsets(ids).select("doc_id", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("n_bytes"))
+    same = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("was")).join(encoding.decode(ids), "doc_id").select("doc_id", (F.col("was") == F.col("text")).alias("equal"))
+    return ends.join(same, "doc_id")
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
@@ -100,6 +109,10 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("fill", "n_pieces").agg(F.count("*").alias("containers"))
 
 
+def p8_certificate(spark: SparkSession, d: str) -> DataFrame:
+    return packing.certificate(cut(packing.pack_documents(table(spark, d, "documents"))))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.damaged_tokens(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -109,4 +122,4 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_pages, p2_templates, p3_found, p3_repaired_pages, p4_found, p4_canonical, p5_found, p5_groups, p6_found, p6_passages, p7_ids, p8_containers, p8_fill, p8_certificate, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean_pages, p2_templates, p3_found, p3_repaired_pages, p4_found, p4_canonical, p5_found, p5_groups, p6_found, p6_passages, p7_ids, p7_round_trip, p8_containers, p8_fill, p8_certificate, p9_found, p9_restored)}

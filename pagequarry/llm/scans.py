@@ -8,7 +8,9 @@ The editor's best edits are held against the corpus vocabulary, which counts all
 replaced by the known word that scores best, if that is at least twice as frequent.
 
 Kinds found: header (a line with the document's running title at top or bottom), page_number, hyphen (a word broken at the line's end, with the whole
-word), misread (with the right word). Defined results: null and empty texts, null methods and pages of other methods give nothing; rows
+word), misread (with the right word). ``seen`` has the word as it was read, for the repair. A token of one character, a part number by its shape, and one of
+over ``LONGEST`` characters, which is no word of these languages, is never a misread; a word is given one edit for each three characters, and three at least. Confusions that training
+shows for under 3 % of a character's edits are left out. Defined results: null and empty texts, null methods and pages of other methods give nothing; rows
 delivered twice count once; a document without a title has no headers; without clean text to learn from (an empty sample) the editor keeps everything.
 """
 
@@ -31,6 +33,7 @@ from pagequarry.session import cut
 HYPHENS = "-‐‑¬­"
 _NUMBER = re.compile(r"^\W*(?:(?:page|seite|página|pág\.?|стр\.?|страница|blatt|p\.|s\.)\s*)?(\d{1,5})\W*(?:(?:/|of|von|sur|de|из)\s*\d{1,5}\W*)?$", re.I)
 CODE = r"^[A-ZА-Я]{2,}[- ]?[0-9]+$"  # part numbers are no words
+LONGEST = 100
 _ALNUM = re.compile(r"[^\W_]+")
 _FOLD = str.maketrans("015689", "olsbbg")
 
@@ -55,7 +58,8 @@ def line_features(lines: list[str], i: int, filled: list[int], title: list[str])
     x = lines[i].strip()
     top, bottom = min(at, 3), min(len(filled) - 1 - at, 6)
     share, others = title_share(x, title)
-    out = ["bias", f"top{top}", f"bottom{bottom}", f"title{int(share * 5)}", f"title{int(share * 5)}/{min(others, 3)}", f"others{min(others, 6)}", f"end{x[-1:] in '.!?:;,'}", f"length{min(len(x) // 10, 8)}"]
+    edge = at < 3 or len(filled) - 1 - at < 8
+    out = ["bias", f"edge{edge}", f"edge{edge} title{int(share * 5)} others{min(others, 3)}", f"edge{edge} number{bool(_NUMBER.match(x))}", f"top{top}", f"bottom{bottom}", f"title{int(share * 5)}", f"title{int(share * 5)}/{min(others, 3)}", f"others{min(others, 6)}", f"end{x[-1:] in '.!?:;,'}", f"length{min(len(x) // 10, 8)}"]
     if _NUMBER.match(x):
         out += ["number", f"number{top}/{bottom}", f"number bottom{bottom > 5 and top > 2}"]
     return out
@@ -109,8 +113,9 @@ class Confusions:
         self.gone = {k for k, n in gone.items() if n >= least}
 
 
-def best_edits(model: AveragedPerceptron, confusions: Confusions, token: str, width: int = 16, most: int = 3) -> list[tuple[str, float]]:
-    """The best outputs of the editor by a beam over characters, unchanged text left out; at most ``most`` edits each."""
+def best_edits(model: AveragedPerceptron, confusions: Confusions, token: str, width: int = 16, least: int = 3) -> list[tuple[str, float]]:
+    """The best outputs of the editor by a beam over characters, unchanged text left out; at most an edit for each three characters, or ``least``."""
+    most = max(least, len(token) // 3)
     beam: list[tuple[float, str, int, bool]] = [(0.0, "", 0, False)]
     for i, c in enumerate(token):
         s = model.scores(edit_features(token, i))
@@ -178,11 +183,14 @@ def examples_of_page(text: str, page_number: int, title: str | None, clean: str)
         whole, compound = left + right in known, f"{left}-{right}" in known
         if whole != compound:
             out.append(("join" if whole else "keep", f"{left}\t{mark}\t{right}", ""))
-    flat = " ".join(clean.split())
-    for i in filled:
+    flat = f" {' '.join(clean.split())} "
+    for before, i in zip([None, *filled], filled):
         x = " ".join(lines[i].split())
         share, others = title_share(x, t)
-        kind = "text" if x in flat else "header" if share >= 0.6 and others <= 2 else "page_number" if _NUMBER.match(x) else "other"
+        if _NUMBER.match(x):  # a number of the text goes on from the line before
+            kind = "text" if before is not None and f" {lines[before].split()[-1]} {x} " in flat else "page_number"
+        else:
+            kind = "text" if x in flat else "header" if share >= 0.6 and others <= 2 else "other"
         if kind != "text" or i % 4 == 0:
             out.append(("line", "\t".join(line_features(lines, i, filled, t)), kind))
     return out
@@ -208,16 +216,7 @@ class ScanModels:
         self.line = AveragedPerceptron().train(line) if line else None
 
     def kind_of_line(self, lines: list[str], i: int, filled: list[int], title: list[str]) -> str:
-        x = lines[i]
-        share, others = title_share(x, title)
-        says = self.line.predict(line_features(lines, i, filled, title)) if self.line else ""
-        at = filled.index(i)
-        edge = at < 3 or len(filled) - 1 - at < 8
-        if edge and share >= 0.6 and others <= 2 and (says == "header" or share >= 0.8):
-            return "header"
-        if edge and _NUMBER.match(x.strip()) and says in ("page_number", "header", "other", ""):
-            return "page_number"
-        return "other" if says == "other" else ""
+        return self.line.predict(line_features(lines, i, filled, title)) if self.line else ""
 
 
 def train(pages: DataFrame, documents: DataFrame, vocabulary: DataFrame, sample_pages: int = 2_000, most_chars: int = 20_000) -> ScanModels:
@@ -242,7 +241,7 @@ def train(pages: DataFrame, documents: DataFrame, vocabulary: DataFrame, sample_
 
 
 def scan_noise(pages: DataFrame, documents: DataFrame, sample_pages: int = 2_000) -> DataFrame:
-    """(page_id, line_no, kind, word): everything found on the scanned pages."""
+    """(page_id, line_no, kind, word, seen): everything found on the scanned pages; seen is the token of a misread word."""
     scanned = pages.filter("extraction_method = 'ocr' and text is not null and page_id is not null").select("page_id", "document_id", "page_number", "text")
     titles = documents.select(F.col("doc_id").alias("document_id"), "title").dropDuplicates(["document_id"])
     # native pages have the words of notices, which are in no document's reading text
@@ -269,12 +268,12 @@ def scan_noise(pages: DataFrame, documents: DataFrame, sample_pages: int = 2_000
                     rows.append((pid, i + 1, "hyphen", left + right, left, mark, right))
                 for i in filled:
                     for w in {core(x) for x in lines[i].split()}:
-                        if len(w) >= 3 and (i, w) not in broken and any(c.isalpha() for c in w):
+                        if len(w) >= 2 and (i, w) not in broken and any(c.isalpha() for c in w):
                             rows.append((pid, i + 1, "token", w, None, None, None))
             yield records(rows, ["page_id", "line_no", "kind", "word", "left", "mark", "right"])
 
     parsed = cut(titled.mapInPandas(parse, schema))
-    furniture = parsed.filter("kind in ('header', 'page_number')").select("page_id", "line_no", "kind", "word")
+    furniture = parsed.filter("kind in ('header', 'page_number')").select("page_id", "line_no", "kind", "word", F.lit(None).cast("string").alias("seen"))
     return furniture.unionByName(_joins(parsed, vocabulary, shared)).unionByName(_misreads(parsed, vocabulary, shared)).distinct()
 
 
@@ -289,16 +288,16 @@ def _joins(parsed: DataFrame, vocabulary: DataFrame, shared) -> DataFrame:
         for b in batches:
             ok = [m.predict(hyphen_features(*x)) == "join" for x in zip(b["left"], b["mark"], b["right"], b["fw"], b["fc"])]
             k = b[pd.Series(ok, index=b.index, dtype=bool)]
-            yield objects({"page_id": k["page_id"], "line_no": k["line_no"], "kind": ["hyphen"] * len(k), "word": k["word"]})
+            yield objects({"page_id": k["page_id"], "line_no": k["line_no"], "kind": ["hyphen"] * len(k), "word": k["word"], "seen": [None] * len(k)})
 
-    return known.mapInPandas(decide, "page_id long, line_no int, kind string, word string")
+    return known.mapInPandas(decide, "page_id long, line_no int, kind string, word string, seen string")
 
 
 def _misreads(parsed: DataFrame, vocabulary: DataFrame, shared) -> DataFrame:
     """Unknown tokens with the best of their edits that are known words, at least twice as frequent as they are."""
     tokens = parsed.filter("kind = 'token'").select("page_id", "line_no", "word")
     own = cut(tokens.groupBy("word").agg(F.count("*").alias("n")))
-    unknown = own.filter(~F.col("word").rlike(CODE) & (F.length("word") <= 40)).join(vocabulary, "word", "left_anti")
+    unknown = own.filter(~F.col("word").rlike(CODE) & (F.length("word") <= LONGEST)).join(vocabulary, "word", "left_anti")
 
     def edit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -309,45 +308,48 @@ def _misreads(parsed: DataFrame, vocabulary: DataFrame, shared) -> DataFrame:
     made = unknown.mapInPandas(edit, "word string, n long, candidate string, score double")
     known = made.join(vocabulary.withColumnRenamed("word", "candidate"), "candidate").filter("f >= 2 * n")
     best = known.groupBy("word").agg(F.max_by("candidate", F.struct(F.col("score") + F.log("f"), F.col("candidate"))).alias("right_word"))
-    return tokens.join(best, "word").select("page_id", "line_no", F.lit("misread").alias("kind"), F.col("right_word").alias("word"), F.col("word").alias("_seen")).drop("_seen")
+    return tokens.join(best, "word").select("page_id", "line_no", F.lit("misread").alias("kind"), F.col("right_word").alias("word"), F.col("word").alias("seen"))
 
 
 def repaired_pages(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """(page_id, text): the scanned pages as continuous paragraphs, without running lines, with whole and right words."""
+    """(page_id, text): the scanned pages as continuous paragraphs, without running lines, with whole and right words. ``found`` comes from ``scan_noise``."""
     scanned = pages.filter("extraction_method = 'ocr'").select("page_id", "text").dropDuplicates(["page_id"])
-    marks = found.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "kind", "word")).alias("marks"))
+    marks = found.groupBy("page_id").agg(F.collect_list(F.struct("line_no", "kind", "word", "seen")).alias("marks"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield objects({"page_id": b["page_id"], "text": [None if x is None else repair(x, [] if m is None else [(r["line_no"], r["kind"], r["word"]) for r in m]) for x, m in zip(b["text"], b["marks"])]})
+            yield objects({"page_id": b["page_id"], "text": [None if x is None else repair(x, [] if m is None else [tuple(r[c] for c in ("line_no", "kind", "word", "seen")) for r in m]) for x, m in zip(b["text"], b["marks"])]})
 
     return scanned.join(marks, "page_id", "left").mapInPandas(write, "page_id long, text string")
 
 
-def repair(text: str, marks: list[tuple[int, str, str]]) -> str:
-    """Applies what was found to one page's text and runs its lines together; blank lines keep paragraphs apart."""
+def repair(text: str, marks: list[tuple[int, str, str, str | None]]) -> str:
+    """Applies what was found to one page's text and runs its lines together; blank lines keep paragraphs apart.
+
+    A misread word is put right where it was read. Broken words lose their hyphen, compounds that break after theirs keep it; neither gets a space.
+    """
     lines = text.split("\n")
-    gone = {n for n, kind, _ in marks if kind in ("header", "page_number")}
-    joined = {(n, w) for n, kind, w in marks if kind == "hyphen"}
-    right: dict[int, list[str]] = {}
-    for n, kind, w in marks:
+    gone = {n for n, kind, *_ in marks if kind in ("header", "page_number")}
+    joined = {n for n, kind, *_ in marks if kind == "hyphen"}
+    kept = {i + 1 for i, *_ in breaks(lines)} - joined
+    right: dict[int, dict[str, str]] = {}
+    for n, kind, word, seen in marks:
         if kind == "misread":
-            right.setdefault(n, []).append(w)
+            right.setdefault(n, {})[seen] = word
     out: list[str] = []
+    glue, open_ = True, False  # whether the next line follows without a space, and whether a broken word waits for it
     for n, x in enumerate(lines, 1):
         if n in gone:
             continue
-        words = x.split()
-        for w in right.get(n, []):
-            near = max(((difflib.SequenceMatcher(None, core(y), w).ratio(), i) for i, y in enumerate(words) if core(y) != w), default=None)
-            if near and near[0] >= 0.5:
-                words[near[1]] = words[near[1]].replace(core(words[near[1]]), w)
-        x = " ".join(words)
+        swap = right.get(n, {})
+        x = " ".join(w.replace(c, swap[c], 1) if (c := core(w)) in swap else w for w in x.split())
         if not x:
-            out.append("\n\n")
-        else:
-            if out and not out[-1].endswith(("\n\n", "\x00")):
-                out.append(" ")
-            whole = any(m == n for m, _ in joined)
-            out.append(x[:-1] + "\x00" if whole and x[-1] in HYPHENS else x)
-    return re.sub(r"\n{2,}", "\n\n", "".join(out)).replace("\x00", "").strip()
+            if not open_:
+                out.append("\n\n")
+                glue = True
+            continue
+        out.append(x if glue else " " + x)
+        glue = open_ = n in joined | kept
+        if n in joined and x[-1] in HYPHENS:
+            out[-1] = out[-1][:-1]
+    return re.sub(r"\n{2,}", "\n\n", "".join(out)).strip()

@@ -27,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_clean_pages": _LINES
         + """, k AS (SELECT l.page_id, string_agg(line, chr(10) ORDER BY l.line_no) AS text FROM l ANTI JOIN f ON l.page_id = f.page_id AND l.line_no = f.line_no GROUP BY 1)
         SELECT q.page_id, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text FROM (SELECT DISTINCT page_id FROM pages) q LEFT JOIN p ON p.page_id = q.page_id LEFT JOIN k ON k.page_id = q.page_id""",
+        "p7_round_trip": "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, true AS equal FROM documents",
         "p5_found": _SHINGLES + "SELECT pa AS page_id_a, pb AS page_id_b FROM o JOIN n a ON a.page_id = pa JOIN n b ON b.page_id = pb WHERE o >= 0.6 * (a.n + b.n - o) - 1e-9",
     }

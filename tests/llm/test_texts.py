@@ -155,8 +155,9 @@ def test_scan_noise(scanned):
 
 
 def test_repair():
-    text = "Maker data sheet\nThe va1ve hou-\nsing is cold.\n\nLow-\nfriction parts\n- 3 -"
-    assert scans.repair(text, [(1, "header", ""), (2, "hyphen", "housing"), (2, "misread", "valve"), (7, "page_number", "")]) == "The valve housing is cold.\n\nLow- friction parts"
+    text = "Maker data sheet\nThe va1ve of one va1ue, hou-\n\nsing is cold.\n\nLow-\nfriction parts - and\nso on\n- 3 -"
+    marks = [(1, "header", "", None), (2, "hyphen", "housing", None), (2, "misread", "valve", "va1ve"), (2, "misread", "value", "va1ue"), (9, "page_number", "", None)]
+    assert scans.repair(text, marks) == "The valve of one value, housing is cold.\n\nLow-friction parts - and so on"
     assert scans.repair("", []) == ""
 
 
@@ -211,8 +212,9 @@ def test_trie():
     t.add("xc", 5)
     t.add("pièce", 1)
     t.add("хс", 1)
-    assert t.nearest("ХС") == "xc" and t.nearest("Pіèс​e") == "pièce" and t.nearest("xb") is None
-    assert t.nearest("xb", 1) == "xc" and t.nearest("pice", 1) is None and t.nearest("pièc", 1) == "pièce" and t.nearest("xxc", 1) == "xc"
+    best = lambda token, cost=0: (t.nearest(token, cost) or [None])[-1]
+    assert best("ХС") == "xc" and best("Pіèс​e") == "pièce" and best("xb") is None
+    assert best("xb", 1) == "xc" and best("pice", 1) is None and best("pièc", 1) == "pièce" and best("xxc", 1) == "xc"
 
 
 def test_rare_spelling_goes_to_the_vocabulary(spark):
@@ -244,6 +246,11 @@ def test_token_ids(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in encoding.count_tokens(df).collect()} == {i: len(g) for i, g in got.items()}
     with pytest.raises(ValueError):
         encoding.byte_offsets("other", got[0])
+    made = encoding.encode(df).withColumn("text", F.lit("clash")).withColumn("ends", F.lit(0)).unionByName(spark.createDataFrame([(50, None, "", 0)], "doc_id long, ids array<int>, text string, ends int"))
+    assert {r["doc_id"]: r["text"] for r in encoding.decode(made).collect()} == {i: t or "" for i, t in enumerate(texts)} | {50: ""}
+    ends = {r["doc_id"]: r["ends"] for r in encoding.offsets(made).collect()}
+    assert all(ends[i] == [b for _, b in encoding.byte_offsets(t or "", got[i])] for i, t in enumerate(texts)) and ends[50] == []
+    assert encoding.decode(made.limit(0)).count() == 0 == encoding.offsets(made.limit(0)).count()
 
 
 CLEAN = ["Für die Führung gilt 5 °C über den Kühler", "Le réglage près de la pièce vérifié", "Если насос не проверен, следует заменить резьба", "Ø 5 mm – the operator’s “valve”"]
