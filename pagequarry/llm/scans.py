@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pagequarry.frames import objects, records
 from pagequarry.llm.perceptron import AveragedPerceptron
 from pagequarry.llm.words import core, count_words
-from pagequarry.session import cut
+from pagequarry.session import broadcast_if_small, cut
 
 HYPHENS = "-‐‑¬­"
 _NUMBER = re.compile(r"^\W*(?:(?:page|seite|página|pág\.?|стр\.?|страница|blatt|p\.|s\.)\s*)?(\d{1,5})\W*(?:(?:/|of|von|sur|de|из)\s*\d{1,5}\W*)?$", re.I)
@@ -249,7 +249,7 @@ def scan_noise(pages: DataFrame, documents: DataFrame, sample_pages: int = 2_000
     vocabulary = cut(count_words(documents, "text", "title").unionByName(native).groupBy("word").agg(F.sum("f").alias("f")))
     models = train(scanned, documents, vocabulary, sample_pages)
     shared = pages.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
-    titled = scanned.join(titles, "document_id", "left")
+    titled = scanned.join(broadcast_if_small(titles), "document_id", "left")  # then no text is shuffled; beyond, adaptive execution divides a hot document
     schema = "page_id long, line_no int, kind string, word string, left string, mark string, right string"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,6 +308,7 @@ def _misreads(parsed: DataFrame, vocabulary: DataFrame, shared) -> DataFrame:
     made = unknown.mapInPandas(edit, "word string, n long, candidate string, score double")
     known = made.join(vocabulary.withColumnRenamed("word", "candidate"), "candidate").filter("f >= 2 * n")
     best = known.groupBy("word").agg(F.max_by("candidate", F.struct(F.col("score") + F.log("f"), F.col("candidate"))).alias("right_word"))
+    best = broadcast_if_small(cut(best))  # then hot words stay in their tasks; beyond, adaptive execution divides them
     return tokens.join(best, "word").select("page_id", "line_no", F.lit("misread").alias("kind"), F.col("right_word").alias("word"), F.col("word").alias("seen"))
 
 
