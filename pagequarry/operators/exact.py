@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagequarry.frames import records
 from pagequarry.functions.text import normalize
 from pagequarry.operators.index import PageIndex
-from pagequarry.session import broadcast_if_small, cut
+from pagequarry.session import among, cut
 
 SHORTEST = 3
 
@@ -21,8 +21,7 @@ def _possible(index: PageIndex | None, pages: DataFrame, needles: list[str]) ->
     """The pages in which a needle can occur, by the stored trigrams; without an index, all."""
     if index is None:
         return pages
-    some = cut(index.pages_with({n: [] for n in needles}).select("page_id").distinct())
-    return pages.join(broadcast_if_small(some), "page_id", "left_semi")
+    return among(pages, "page_id", cut(index.pages_with({n: [] for n in needles}).select("page_id").distinct()))
 
 
 def exact_matches(pages: DataFrame, documents: DataFrame, query: str, index: PageIndex | None = None) -> DataFrame:

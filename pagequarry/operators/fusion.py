@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.models import Reranker, rerank_column
 from pagequarry.functions.scores import rrf_term, sigmoid
+from pagequarry.session import among, cut
 
 
 def ranked(df: DataFrame, name: str) -> DataFrame:
@@ -31,8 +32,10 @@ def rrf(lexical: DataFrame, semantic: DataFrame, limit: int = 40) -> DataFrame:
 
 
 def with_rerank_text(candidates: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds ``rerank_text``: the passage, or the page's text where it is null or empty, or ''. The candidates are few."""
-    texts = pages.select("page_id", "text").join(F.broadcast(candidates.select("page_id")), "page_id", "left_semi").groupBy("page_id").agg(F.max("text").alias("_text"))
+    """Adds ``rerank_text``: the passage, or the page's text where it is null or empty, or ''. The candidates are few; only the texts of theirs without a passage are read."""
+    candidates = cut(candidates)
+    bare = candidates.filter(F.coalesce("passage", F.lit("")) == "")
+    texts = among(pages.select("page_id", "text"), "page_id", bare).groupBy("page_id").agg(F.max("text").alias("_text"))
     return candidates.join(texts, "page_id", "left").withColumn("rerank_text", F.coalesce(F.nullif("passage", F.lit("")), "_text", F.lit(""))).drop("_text")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.layout import unpack_layout
 from pagequarry.functions.text import normalize, normalize_text, words
+from pagequarry.session import among, cut
 
 
 def snippet(ws: Column, start: Column, end: Column) -> Column:
@@ -37,8 +38,8 @@ def normal_words(layout: Column) -> Column:
 
 def hydrate(ranked: DataFrame, pages: DataFrame, documents: DataFrame, query: str) -> DataFrame:
     """The shown rows with document, path, snippet, boxes and warning. ``ranked``: page_id, score, word_start, word_end (null end: up to 60 words), pos."""
-    few = F.broadcast(ranked)  # one page of results
-    page = pages.join(few, "page_id").dropDuplicates(["page_id"])
+    few = cut(ranked)  # one page of results
+    page = among(pages, "page_id", few).join(F.broadcast(few), "page_id").dropDuplicates(["page_id"])
     doc = documents.select(F.col("doc_id").alias("document_id"), "title", "path", "error")
     rows = page.join(doc, "document_id")
     ws = words(F.col("text"))

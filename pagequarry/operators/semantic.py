@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagequarry.session import among, cut
+
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
     v = F.col("embedding")
@@ -50,10 +52,11 @@ def semantic_pages(vectors: DataFrame, passages: DataFrame, pages: DataFrame, do
     ``prefilter`` takes them from active passages only.
     """
     alive = passages.filter("active and embedding_id is not null")
-    hits = top_passages(vectors, query, 2 * limit, alive if prefilter else None)
-    p = alive.select("passage_id", "page_id", "embedding_id", F.col("text").alias("passage"), "word_start", "word_end")
+    hits = cut(top_passages(vectors, query, 2 * limit, alive if prefilter else None))
+    p = among(alive, "embedding_id", hits).select("passage_id", "page_id", "embedding_id", F.col("text").alias("passage"), "word_start", "word_end")
     near = F.broadcast(hits).join(p, "embedding_id").dropDuplicates(["passage_id"])  # at most 2 * limit hits
-    owner = pages.select("page_id", "document_id").join(F.broadcast(near), "page_id").dropDuplicates(["passage_id"])
+    near = cut(near)
+    owner = among(pages.select("page_id", "document_id"), "page_id", near).join(F.broadcast(near), "page_id").dropDuplicates(["passage_id"])
     active = documents.filter("active").select(F.col("doc_id").alias("document_id"))
     live = owner.join(active, "document_id", "left_semi")
     first = F.row_number().over(W.partitionBy("page_id").orderBy(F.desc(F.round("score", 9)), "embedding_id"))

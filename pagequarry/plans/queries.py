@@ -298,8 +298,8 @@ def snippets(s, d):
 def highlights(s, d):
     """Words of each page that equal a word of any search term: their places in the normalised text."""
     wanted = F.broadcast(table(s, d, "search_terms").select(F.explode(F.split(tx.normalize_text("term"), " ")).alias("word")).distinct())  # the words of a fixed table
-    p = _pages(s, d, "normalized_text").select("page_id", F.posexplode(F.split("normalized_text", " ")).alias("word_no", "word"))
-    return p.join(wanted, "word", "left_semi").select("page_id", "word_no", "word")
+    p = _delivered(s, d, "normalized_text").select("page_id", F.posexplode(F.split("normalized_text", " ")).alias("word_no", "word"))
+    return p.join(wanted, "word", "left_semi").select("page_id", "word_no", "word").distinct()
 
 
 @query
@@ -346,8 +346,8 @@ def tombstone_passages(s, d):
 @query
 def replace_merge(s, d):
     """Stored passages of native pages replaced by freshly cut ones: (page_id, passages)."""
-    p = table(s, d, "pages").filter("extraction_method = 'native'").select("page_id", "text").dropDuplicates(["page_id"])
-    fresh = chunks.chunk_passages(p).select("page_id", "ordinal", "word_start", "word_end")
+    p = table(s, d, "pages").filter("extraction_method = 'native'").select("page_id", "text")
+    fresh = chunks.chunk_passages(p).select("page_id", "ordinal", "word_start", "word_end").distinct()  # numbers are shuffled, texts are not
     stored = table(s, d, "passages").select("page_id", "ordinal", "word_start", "word_end").distinct()
     return incremental.replace_children(stored, fresh, "page_id").groupBy("page_id").agg(F.count("*").alias("passages"), F.max("word_end").alias("words"))
 

@@ -46,6 +46,23 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def smallest_hashes(df: DataFrame, key: str, want: int, n: int) -> DataFrame:
+    """A uniform sample of ``want`` of the ``n`` rows of ``df``: those whose keys have the smallest hashes. Rows far beyond are left out first, so that few reach the one task that sorts."""
+    share = min(1.0, 3.0 * max(want, 100) / max(1, n))
+    h = F.xxhash64(key)
+    near = df if share >= 1 else df.filter(h <= F.lit(int(-(2**63) + 2**64 * share)))
+    return near.orderBy(h, key).limit(want)
+
+
+def among(df: DataFrame, column: str, keys: DataFrame, most: int = 1_000) -> DataFrame:
+    """The rows of a stored table whose ``column`` is one of ``keys`` (a checkpoint). Up to ``most`` keys are named in the filter, which reaches the files' statistics; more are joined."""
+    wanted = keys.select(column).filter(F.col(column).isNotNull()).distinct()
+    few = wanted.limit(most + 1).collect()
+    if len(few) <= most:
+        return df.filter(F.col(column).isin([r[0] for r in few]))
+    return df.join(broadcast_if_small(wanted), column, "left_semi")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Hands this package to the executors, once for each Spark context; they need no copy of their own."""
     sc = spark.sparkContext
