@@ -60,6 +60,7 @@ def exact_counts(pages: DataFrame, documents: DataFrame, needles: DataFrame, key
             found = [(k, p, d) for p, d, x in zip(b["page_id"], b["document_id"], b["normalized_text"]) for k in {k for _, keys in a.iter(x) for k in keys}] if wanted else []
             yield records(found, [key, "page_id", "document_id"])
 
-    found = pages.filter("normalized_text is not null").select("page_id", "document_id", "normalized_text").mapInPandas(search, f"{key} {kind}, page_id long, document_id long")
-    active = documents.filter("active").select(F.col("doc_id").alias("document_id"))
+    active = documents.filter("active and doc_id is not null").select(F.col("doc_id").alias("document_id"))
+    some = pages.filter("normalized_text is not null and page_id is not null and document_id is not null").select("page_id", "document_id", "normalized_text")
+    found = some.mapInPandas(search, f"{key} {kind}, page_id long, document_id long")
     return found.distinct().join(active, "document_id", "left_semi").groupBy(key).agg(F.count("*").alias("total"))

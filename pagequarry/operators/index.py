@@ -10,15 +10,15 @@ Repeated deliveries of a page give the same postings again; readers take each pa
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.frames import objects, records
+from pagequarry.frames import objects
 from pagequarry.functions.text import terms
 from pagequarry.session import broadcast_if_small, checkpoint_folder
 from pagequarry.sources.snapshots import newest, publish
@@ -47,10 +47,18 @@ def term_rows(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(t, p, d, n, len(ts)) for p, d, ts in zip(b["page_id"], b["document_id"], b["terms"]) for t, n in Counter(ts).items()]
-            yield records(rows, ["term", "page_id", "document_id", "tf", "dl"])
+            length = b["terms"].str.len().to_numpy(np.int64)
+            if not length.sum():
+                continue
+            code, names = pd.factorize(np.concatenate(b["terms"].to_numpy()))
+            pairs, tf = np.unique(np.repeat(np.arange(len(b)), length) * len(names) + code, return_counts=True)
+            row, code = np.divmod(pairs, len(names))
+            got = b.take(row)
+            yield pd.DataFrame({"term": names[code], "page_id": got["page_id"].to_numpy(), "document_id": got["document_id"].to_numpy(), "tf": tf.astype(np.int32), "dl": length[row].astype(np.int32)})
 
-    return pages.select("page_id", "document_id", terms(F.col("text")).alias("terms")).mapInPandas(run, TERM_ROWS)
+    none = F.lit(-(2**63))  # pandas would make a column with nulls one of floats
+    rows = pages.filter("page_id is not null").select("page_id", F.coalesce("document_id", none).alias("document_id"), terms(F.col("text")).alias("terms"))
+    return rows.mapInPandas(run, TERM_ROWS).withColumn("document_id", F.nullif("document_id", none))
 
 
 def gram_rows(pages: DataFrame) -> DataFrame:
@@ -64,7 +72,7 @@ def gram_rows(pages: DataFrame) -> DataFrame:
                     found.setdefault(g, []).append(p)
             yield objects({"gram": found.keys(), "ids": found.values()})
 
-    return pages.filter("normalized_text is not null").select("page_id", "normalized_text").mapInPandas(run, GRAM_ROWS)
+    return pages.filter("normalized_text is not null and page_id is not null").select("page_id", "normalized_text").mapInPandas(run, GRAM_ROWS)
 
 
 class PageIndex:
@@ -91,7 +99,7 @@ class PageIndex:
         at = f"{self.folder}/{name}"
         self._write(term_rows(pages), f"{at}/terms", "term", buckets)
         self._write(gram_rows(pages), f"{at}/grams", "gram", buckets)
-        own = pages.select("page_id", F.size(terms(F.col("text"))).alias("dl")).groupBy("page_id").agg(F.max("dl").alias("dl"))
+        own = pages.filter("page_id is not null").select("page_id", F.size(terms(F.col("text"))).alias("dl")).groupBy("page_id").agg(F.max("dl").alias("dl"))
         gone = self.spark.createDataFrame([], "page_id long, dl int") if removed is None else removed.select("page_id", F.lit(None).cast("int").alias("dl")).distinct()
         own.unionByName(gone).write.parquet(f"{at}/pages")
         return name

@@ -75,11 +75,14 @@ def test_postings_and_stats(corpus, index):
 def test_index_follows_changed_pages(spark, corpus, tmp_path):
     index = PageIndex.build(spark, corpus.pages, str(tmp_path / "i"))
     new = spark.createDataFrame([(2, 1, "Copper washer, corrosion free", None), (50, 2, "Brand new corrosion", None)], "page_id long, document_id long, text string, normalized_text string").withColumn("normalized_text", F.lower("text"))
+    big = 2**62 + 1  # beyond what a float holds
+    new = new.unionByName(spark.createDataFrame([(big, big, "washer of a large id", "washer of a large id"), (51, None, "washer of no document", "washer of no document"), (None, 1, "washer of no page", "washer of no page")], new.schema))
     index.update(new, spark.createDataFrame([(3,)], "page_id long"))
     now = corpus.pages.filter("page_id not in (2, 3)").select(new.columns).unionByName(new)
     whole = PageIndex.build(spark, now, str(tmp_path / "whole"))
     again = PageIndex(spark, str(tmp_path / "i"))
     again.compact()
+    assert {(r["page_id"], r["document_id"]) for r in index.postings(["washer"]).collect()} == {(2, 1), (51, None), (big, big)}
     for other in (index, again, PageIndex(spark, str(tmp_path / "i"))):
         assert tuple(other.stats().first()) == tuple(whole.stats().first())
         assert sorted(other.term_stats().collect()) == sorted(whole.term_stats().collect())
