@@ -10,6 +10,7 @@ without a match is normalised by table. Terms are found at cost 0, since a visib
 Pages without any suspicious character need no lookup at all.
 
 Defined results: null text stays null; empty text stays empty; runs of white space of any kind count as one space;
+pages without a key have a canonical text, but no terms are found on them;
 an empty table gives an empty table.
 """
 
@@ -218,7 +219,7 @@ def _apply(text: str, forms: dict[str, str]) -> str:
 def canonical_text(pages: DataFrame, key: str = "page_id", text: str = "text", extra: DataFrame | None = None, max_cost: int = 0) -> DataFrame:
     """(key, canonical): every text in its one form. Only texts with suspicious characters are shuffled to meet their tokens' forms."""
     kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = pages.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))  # pandas would make whole numbers with nulls floats
     odd = F.coalesce(F.col("text").rlike(SUSPICIOUS), F.lit(False))
     forms = canonical_tokens(rows, "text", extra, max_cost)
     mine = rows.filter(odd).select("key", F.explode(F.array_distinct(F.split("text", SPACES))).alias("token")).filter(F.col("token").rlike(SUSPICIOUS))
@@ -233,10 +234,10 @@ def canonical_text(pages: DataFrame, key: str = "page_id", text: str = "text", e
         for b in batches:
             yield objects({"key": b["key"], "canonical": [None if x is None else " ".join(_close(x).split()) for x in b["text"]]})
 
-    schema = f"key {kind}, canonical string"
+    schema = "key string, canonical string"
     slow = rows.filter(odd).join(maps, "key", "left").mapInPandas(rewrite, schema)
     fast = rows.filter(~odd).mapInPandas(fold, schema)
-    return slow.unionByName(fast).withColumnRenamed("key", key)
+    return slow.unionByName(fast).select(F.col("key").cast(kind).alias(key), "canonical")
 
 
 def find_terms(pages: DataFrame, terms: DataFrame, key: str = "page_id", text: str = "text", term_key: str = "term_id", term: str = "term", most_terms: int = 100_000) -> DataFrame:
@@ -264,4 +265,4 @@ def find_terms(pages: DataFrame, terms: DataFrame, key: str = "page_id", text: s
             found = [] if not needles else [(t, k) for k, x in zip(b[key], b["canonical"]) if x for t in {t for _, ids in a.iter(x) for t in ids}]
             yield records(found, [term_key, key])
 
-    return canonical_text(pages, key, text, tokens).mapInPandas(search, f"{term_key} {tkind}, {key} {kind}").distinct()
+    return canonical_text(pages.filter(F.col(key).isNotNull()), key, text, tokens).mapInPandas(search, f"{term_key} {tkind}, {key} {kind}").distinct()

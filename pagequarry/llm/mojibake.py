@@ -7,7 +7,7 @@ search over its tokens chooses unchanged text or a channel for each, with a cost
 
 All counts cover the whole corpus. Only a table of character counts (bounded by Unicode) comes to the driver.
 Defined results: null and empty texts are no case and stay as they are; a token that cannot be recovered (a lost character of an unknown word)
-is found but stays as it is; rows of one key are taken as one document each time.
+is found but stays as it is; rows of one key are taken as one document each time; rows without a key are left out.
 """
 
 from __future__ import annotations
@@ -177,7 +177,7 @@ def tokens_beyond_ascii(documents: DataFrame, key: str, text: str) -> DataFrame:
             rows = [(k, m.start(), m.group(), word_key(m.group())) for k, x in zip(b["key"], b["text"]) if not x.isascii() for m in odd.finditer(x)]
             yield records(rows, ["key", "pos", "token", "word"])
 
-    rows = documents.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInPandas(run, f"key {kind}, pos int, token string, word string")
 
 
@@ -280,7 +280,7 @@ def restore(documents: DataFrame, key: str = "doc_id", text: str = "text", **opt
     """(key, text, n_damaged, n_restored): every document; only the damaged ones are written anew."""
     kind = documents.schema[key].dataType.simpleString()
     bad = broadcast_if_small(cut(damaged_tokens(documents, key, text, **options)), 20_000)  # then no text is shuffled
-    rows = documents.select(key, F.col(text).alias("text"))
+    rows = documents.filter(F.col(key).isNotNull()).select(key, F.col(text).alias("text"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

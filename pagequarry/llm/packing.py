@@ -8,7 +8,7 @@ and sizes move; a partition holds about ``per_partition`` items whatever the inp
 
 Defined results: null and empty texts have size 0 and go into container null with piece 0, as they
 need no room; a text over the capacity is divided into full pieces and a rest, all others stay whole; repeated
-keys are packed as separate items; an empty table gives an empty table.
+keys and null ones are packed as separate items; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -87,8 +87,8 @@ def pack_sizes(items: DataFrame, capacity: int, per_partition: int = 5_000, roun
     key = items.columns[0]
     kind = items.schema[key].dataType.simpleString()
     slack = int(capacity * slack_share)
-    schema = f"{key} {kind}, piece int, size int, part long, container long, loose boolean"
-    left, done = items, None
+    schema = f"{key} string, piece int, size int, part long, container long, loose boolean"
+    left, done = items.withColumn(key, F.col(key).cast("string")), None  # pandas would make whole numbers with nulls floats
     for r in range(rounds + 1):
         parts = max(1, -(-left.count() // per_partition))
         # repeated keys are told apart by nothing, so that they may share a partition; that does no harm
@@ -99,7 +99,7 @@ def pack_sizes(items: DataFrame, capacity: int, per_partition: int = 5_000, roun
         kept = kept.select(key, "piece", "size", F.concat_ws("-", F.lit(r), "part", "container").alias("container"))
         done = kept if done is None else done.unionByName(kept)
         left = packed.filter("loose").select(key, "piece", "size")
-    return done
+    return done.withColumn(key, F.col(key).cast(kind))
 
 
 def certificate(packed: DataFrame, capacity: int = 2048, size: str = "n_tokens") -> DataFrame:

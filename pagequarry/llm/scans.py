@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pagequarry.frames import objects, records
 from pagequarry.llm.perceptron import AveragedPerceptron
 from pagequarry.llm.words import core, count_words
-from pagequarry.session import broadcast_if_small, cut
+from pagequarry.session import broadcast_if_small, cut, smallest_hashes
 
 HYPHENS = "-‐‑¬­"
 _NUMBER = re.compile(r"^\W*(?:(?:page|seite|página|pág\.?|стр\.?|страница|blatt|p\.|s\.)\s*)?(\d{1,5})\W*(?:(?:/|of|von|sur|de|из)\s*\d{1,5}\W*)?$", re.I)
@@ -222,7 +222,8 @@ class ScanModels:
 def train(pages: DataFrame, documents: DataFrame, vocabulary: DataFrame, sample_pages: int = 2_000, most_chars: int = 20_000) -> ScanModels:
     """Learns from at most ``sample_pages`` scanned pages of at most ``most_chars`` characters, those with the smallest hashes of their ids."""
     spark = pages.sparkSession
-    sample = pages.filter(F.length("text") <= most_chars).orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
+    short = pages.filter(F.length("text") <= most_chars)
+    sample = smallest_hashes(short, "page_id", sample_pages, short.count())
     labelled = documents.select("doc_id", "title", F.col("text").alias("clean")).filter("clean is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("document_id"))  # bounded by the sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,7 @@ boundaries that end within its range, counted in words from the range's start. A
 ``settled_range``), so that ranges give what the whole item would. The ranges' word counts are summed in order (prefix sums over a table of one row a
 range); pieces are chosen from this stitched table alone, as it streams by, and each range then emits its parts of the pieces by offset. No task holds a whole file.
 
-Words are the maximal runs of characters without U+0020 and line feed. Defined results: null and empty
+Words are the maximal runs of characters without U+0020 and line feed. Defined results: null keys, null and empty
 texts and items of at most ``max_words`` words give no boundary rows (they need no cutting); the
 end of the text is always a boundary; rows delivered twice give the same rows once. A line longer than the halo widens the left halos of the ranges within it to the
 line's start, since its kind shows there. Bytes that are no UTF-8 count as U+FFFD.
@@ -232,13 +232,13 @@ def natural_boundaries(ranges: DataFrame, key: str) -> DataFrame:
     return ends.select(F.col("key").alias(key), (F.col("before") + F.col("within")).alias("word_end")).distinct()
 
 
-def oversized(df: DataFrame, text: str, max_words: int) -> DataFrame:
+def oversized(df: DataFrame, key: str, text: str, max_words: int) -> DataFrame:
     """Rows of more than ``max_words`` words; the length test spares most rows the word count."""
-    return df.filter((F.length(text) > 2 * max_words) & (F.size(F.filter(F.split(text, "[ \n]+"), lambda w: w != "")) > max_words))
+    return df.filter(F.col(key).isNotNull() & (F.length(text) > 2 * max_words) & (F.size(F.filter(F.split(text, "[ \n]+"), lambda w: w != "")) > max_words))
 
 
 def item_boundaries(df: DataFrame, key: str = "page_id", text: str = "text", max_words: int = 260, range_chars: int = 65_536, halo: int = 2_048) -> DataFrame:
-    return natural_boundaries(text_ranges(oversized(df, text, max_words), key, text, range_chars, halo), key)
+    return natural_boundaries(text_ranges(oversized(df, key, text, max_words), key, text, range_chars, halo), key)
 
 
 class Cutter:
@@ -327,7 +327,7 @@ def _whole_pieces(parts: DataFrame, key: str) -> DataFrame:
 
 def split_items(df: DataFrame, key: str = "page_id", text: str = "text", max_words: int = 260, overlap: int = 40, range_chars: int = 65_536, halo: int = 2_048) -> DataFrame:
     """(key, ordinal, word_start, word_end, text) of every piece of every oversized item; rows of one key must have one text."""
-    big = oversized(df, text, max_words)
+    big = oversized(df, key, text, max_words)
     places = cut_ranges(text_ranges(big, key, text, range_chars, halo), max_words, overlap)
     kind = df.schema[key].dataType.simpleString()
 

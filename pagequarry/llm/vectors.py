@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagequarry.session import broadcast_if_small, cut, partitions_for
+from pagequarry.session import broadcast_if_small, cut, partitions_for, smallest_hashes
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -94,7 +94,7 @@ class VPTree:
 def vantage_points(units: DataFrame, n: int, most: int) -> np.ndarray:
     """A uniform sample of sqrt(n) / 3 unit vectors, at most ``most``: the rows with the smallest hashes of their ids."""
     want = min(most, max(8, math.ceil(math.sqrt(n) / 3)))
-    got = units.orderBy(F.xxhash64("rep"), "rep").limit(want).collect()  # bounded by ``most``
+    got = smallest_hashes(units, "rep", want, n).collect()  # bounded by ``most``
     return np.stack([np.frombuffer(r["unit"], np.float32) for r in got])
 
 

@@ -304,9 +304,9 @@ def test_exchanged_items_stay_in_small_partitions(spark, monkeypatch):
 
 
 def test_pack_documents(spark):
-    df = spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (4, " x" * 50), (1, "a b c")], "doc_id long, text string").withColumn("piece", F.lit(9)).withColumn("container", F.lit("x"))
+    df = spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (4, " x" * 50), (1, "a b c"), (None, "a b"), (2**62 + 1, "a")], "doc_id long, text string").withColumn("piece", F.lit(9)).withColumn("container", F.lit("x"))
     rows = packing.pack_documents(df, capacity=16).collect()
     four = sorted((r["piece"], r["token_start"], r["n_tokens"]) for r in rows if r["doc_id"] == 4)
     assert four == [(0, 0, 16), (1, 16, 16), (2, 32, 16), (3, 48, 2)]
     assert {(r["doc_id"], r["container"] is None) for r in rows if r["n_tokens"] == 0} == {(2, True), (3, True)}
-    assert len([r for r in rows if r["doc_id"] == 1]) == 2
+    assert len([r for r in rows if r["doc_id"] == 1]) == 2 and {None, 2**62 + 1} < {r["doc_id"] for r in rows}

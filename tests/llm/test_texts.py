@@ -203,7 +203,10 @@ def test_terms_are_found_in_any_dress(spark):
     assert {tuple(r) for r in lookalikes.find_terms(pages, terms).collect()} == want
     assert lookalikes.find_terms(pages, terms.limit(0)).count() == 0
     assert lookalikes.find_terms(pages.limit(0), terms).count() == 0
-    canon = {r["page_id"]: r["canonical"] for r in lookalikes.canonical_text(pages).collect()}
+    large = pages.unionByName(spark.createDataFrame([(2**62 + 1, "Hex cap TJA-8882", "x", 1), (None, "Hex cap TJA-8882", "x", 1)], pages.schema))
+    assert {tuple(r) for r in lookalikes.find_terms(large, terms).collect()} == want | {(4, 2**62 + 1)}
+    canon = {r["page_id"]: r["canonical"] for r in lookalikes.canonical_text(large).collect()}
+    assert canon[None] == canon[2**62 + 1] == "hex cap tja-8882"
     assert canon[92] is None and canon[93] == "" and canon[90] == "größenprofil rpb-7988 b0".replace("ß", "ss")
 
 
