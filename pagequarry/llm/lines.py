@@ -41,6 +41,7 @@ class Leaf:
 
     def __init__(self, least: float):
         self.least, self.templates, self.documents = least, [], []
+        self.taken: dict[tuple[str, ...], int] = {}  # what came before goes to the template that took it
 
     def match(self, tokens: list[str]) -> int | None:
         """The template nearest to the tokens, slots on either side counting half; None if none is near enough."""
@@ -55,11 +56,14 @@ class Leaf:
 
     def add(self, tokens: list[str], documents: int = 0) -> int:
         """Takes a line or another tree's template, and the documents it covers; gives the number of the template that took it."""
-        at = self.match(tokens)
+        same = tuple(tokens)
+        at = self.taken[same] if same in self.taken else self.match(tokens)
         if at is None:
             self.templates.append(list(tokens))
             self.documents.append(documents)
+            self.taken[same] = len(self.templates) - 1
             return len(self.templates) - 1
+        self.taken[same] = at
         self.documents[at] += documents
         t = self.templates[at]
         for i, y in enumerate(tokens):
