@@ -1,8 +1,8 @@
 """The stored index of pages: postings of terms and of trigrams, written once and kept up for changed pages.
 
-An index is a folder of segments. A segment has ``terms`` (bucket, term, page_id, document_id, tf, dl), ``grams`` (bucket, gram, ids) and
-``pages`` (page_id, dl), each stored by ``bucket`` (a partition column) and sorted by term or gram, so that a query reads the buckets
-of its own terms and within them the row groups that can hold these. A changed page is written to a new segment and hides its postings in the older ones; a
+An index is a folder of segments. A segment has ``terms`` (bucket, term, page_id, document_id, tf, dl) and ``grams`` (bucket, gram, ids),
+stored by ``bucket`` (a partition column) and sorted by term or gram, so that a query reads the buckets
+of its own terms and within them the row groups that can hold these, and ``pages`` (page_id, dl). A changed page is written to a new segment and hides its postings in the older ones; a
 removed page is listed there without any. ``compact`` writes one segment again. The newest manifest names the segments and the sums of the statistics.
 
 Repeated deliveries of a page give the same postings again; readers take each page's counts once. Null texts have no terms, their pages count.
@@ -10,6 +10,7 @@ Repeated deliveries of a page give the same postings again; readers take each pa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -196,6 +197,11 @@ def index_of(spark: SparkSession, pages: DataFrame, name: str) -> PageIndex:
     """The index of a stored pages table, built at its first use by this application in the shared checkpoint folder; new or changed files give a new one."""
     files = spark.read.format("binaryFile").load(pages.inputFiles()).select(F.xxhash64("path", "length", "modificationTime").alias("h"))
     key = (spark.sparkContext.applicationId, name, files.agg(F.sum(F.col("h").cast("decimal(38,0)"))).first()[0])
-    if key not in _built:
-        _built[key] = PageIndex.build(spark, pages.select("page_id", "document_id", "text", "normalized_text"), f"{checkpoint_folder(spark)}/page-index-{len(_built)}")
+    if key not in _built or not _there(spark, _built[key].folder):
+        _built[key] = PageIndex.build(spark, pages.select("page_id", "document_id", "text", "normalized_text"), f"{checkpoint_folder(spark)}/page-index-{uuid.uuid4().hex}")
     return _built[key]
+
+
+def _there(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

@@ -1,4 +1,5 @@
 import datetime
+import shutil
 import sqlite3
 
 import pytest
@@ -8,7 +9,7 @@ from pagequarry.functions.layout import pack_layout
 from pagequarry.functions.models import HashEmbedder, OfflineModels
 from pagequarry.functions.text import normalize
 from pagequarry.operators import exact, fusion, lexical, results, semantic
-from pagequarry.operators.index import PageIndex
+from pagequarry.operators.index import PageIndex, index_of
 from pagequarry.plans.search import Corpus, SearchEngine
 
 TEXTS = ["Marine fastener ISO 4762 A4-80 corrosion resistance", "Unrelated carbon steel bolt", "Über corrosion: corrosion again, corrosion resistance of bolts", "", None, "a bolt_nut assembly", "bolt nut, steel bolt", "is it steel"]
@@ -103,6 +104,18 @@ def test_exact_is_exhaustive_and_provenanced(corpus):
     assert [r["page_number"] for r in engine.search("steel", "exact", page=2, page_size=1).results.collect()] == [188]
 
 
+def test_index_of_a_table_is_built_again_when_it_is_gone_or_the_table_changes(spark, corpus, tmp_path):
+    path = str(tmp_path / "pages.parquet")
+    corpus.pages.write.parquet(path)
+    first = index_of(spark, spark.read.parquet(path), "pages")
+    assert index_of(spark, spark.read.parquet(path), "pages") is first
+    shutil.rmtree(first.folder.removeprefix("file:"))
+    second = index_of(spark, spark.read.parquet(path), "pages")
+    assert second.stats().first() == index_of(spark, spark.read.parquet(path), "pages").stats().first() and second is not first
+    corpus.pages.limit(1).write.mode("append").parquet(path)
+    assert index_of(spark, spark.read.parquet(path), "pages") is not second
+
+
 def test_exact_with_index_equals_the_plain_search(corpus, index):
     for q in ("steel", "ISO 4762", "olt nu", "absent text", "bolt, ", "is "):
         with_index = exact.exact_matches(corpus.pages, corpus.documents, q, index).select("page_id").collect()
